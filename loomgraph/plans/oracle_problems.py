@@ -45,13 +45,13 @@ tree AS (
   SELECT forest, id, unnest(string_split(path, '/')) AS up FROM tree
 ), descs AS (SELECT forest, up AS id, count(*) - 1 AS n FROM anc GROUP BY ALL),
 walk AS (
-  SELECT forest, id AS start, parent AS at FROM node n WHERE NOT EXISTS (SELECT 1 FROM tree t WHERE t.forest = n.forest AND t.id = n.id)
-  UNION SELECT w.forest, w.start, n.parent FROM walk w JOIN node n ON n.forest = w.forest AND n.id = w.at
+  SELECT forest, id AS start, parent AS spot FROM node n WHERE NOT EXISTS (SELECT 1 FROM tree t WHERE t.forest = n.forest AND t.id = n.id)
+  UNION SELECT w.forest, w.start, n.parent FROM walk w JOIN node n ON n.forest = w.forest AND n.id = w.spot
 )
 SELECT t.forest, t.id AS node_id, 'tree' AS state, t.root AS root_id, t.depth, CAST(d.n AS INTEGER) AS n_desc, t.path AS node_path
 FROM tree t JOIN descs d ON d.forest = t.forest AND d.id = t.id
 UNION ALL
-SELECT forest, start, CASE WHEN bool_or(start = at) THEN 'cycle' ELSE 'below_cycle' END, '', -1, -1, '' FROM walk GROUP BY forest, start
+SELECT forest, start, CASE WHEN bool_or(start = spot) THEN 'cycle' ELSE 'below_cycle' END, '', -1, -1, '' FROM walk GROUP BY forest, start
 """
 
 _P3 = rf"""

@@ -59,17 +59,17 @@ WITH ent AS (
   SELECT id, repo, name_key, status, created FROM entities WHERE id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC, repo DESC, name_key DESC, status DESC, created DESC) = 1
 ), ref AS (
-  SELECT 'class_infos' AS src_table, class_id AS ref_key, repo, 'bases' AS field, unnest(bases) AS name, scanned_at AS at FROM class_infos
+  SELECT 'class_infos' AS src_table, class_id AS ref_key, repo, 'bases' AS field, unnest(bases) AS name, scanned_at AS seen_at FROM class_infos
   UNION ALL SELECT 'class_infos', class_id, repo, 'calls', unnest(calls).callee_name, scanned_at FROM class_infos
 ), named AS (
-  SELECT src_table, ref_key, repo, field, {_NAME_KEY.format("name")} AS target, at FROM ref WHERE name IS NOT NULL
+  SELECT src_table, ref_key, repo, field, {_NAME_KEY.format("name")} AS target, seen_at FROM ref WHERE name IS NOT NULL
 ), hit AS (
   SELECT n.*, e.id AS hit, e.status, e.created FROM named n LEFT JOIN ent e ON e.repo = n.repo AND e.name_key = n.target
   UNION ALL
   SELECT 'stub_resolutions', s.stub_id, s.repo, 'entity_id', s.entity_id, s.resolved_at, e.id, e.status, e.created
   FROM stub_resolutions s LEFT JOIN ent e ON e.id = s.entity_id WHERE s.entity_id IS NOT NULL
 ), bad AS (
-  SELECT *, strftime(at, '%Y-%m') AS period, CASE WHEN hit IS NULL THEN 'missing' WHEN status = 'deleted' THEN 'deleted' WHEN created > at THEN 'late' END AS reason FROM hit
+  SELECT *, strftime(seen_at, '%Y-%m') AS period, CASE WHEN hit IS NULL THEN 'missing' WHEN status = 'deleted' THEN 'deleted' WHEN created > seen_at THEN 'late' END AS reason FROM hit
 )
 """
 

@@ -81,10 +81,10 @@ SELECT src_table, period, count(*) AS n_refs, count(reason) AS n_orphans, count(
 P7 = """
 WITH run AS (
   SELECT min(run_id) AS run_id, cutoff_at FROM scan_runs WHERE status = 'done' AND cutoff_at IS NOT NULL GROUP BY cutoff_at
-), asof AS (
+), held_at AS (
   SELECT r.run_id, r.cutoff_at, f.repo, f.path, max_by(f.hash, (f.last_scanned, f.status_id)) AS h
   FROM run r JOIN file_status f ON f.arrived_at <= r.cutoff_at AND f.hash <> '' GROUP BY ALL
-), d AS (SELECT *, lag(h) OVER (PARTITION BY repo, path ORDER BY cutoff_at) AS before FROM asof)
+), d AS (SELECT *, lag(h) OVER (PARTITION BY repo, path ORDER BY cutoff_at) AS before FROM held_at)
 SELECT run_id, repo, path FROM d WHERE before IS DISTINCT FROM h
 """
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.contamination import leaked_items
+from loomgraph.llm.subjects import composition, document_subjects
 from loomgraph.llm.tokenize import encode_corpus
 from loomgraph.session import table
 
@@ -33,5 +34,19 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("longest").alias("longest"), F.max(F.col("covered") / F.col("item_words")).alias("coverage"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items}
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_samples"), table(spark, sf_dir, "subject_areas"), key="doc_id", text="text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one or two subjects of each document."""
+    return _subjects(spark, sf_dir).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composition of the corpus by subject."""
+    return composition(_subjects(spark, sf_dir))
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_composition": p10_composition}
 ORACLES: dict[str, str] = {}

@@ -9,12 +9,25 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.contamination import leaked_items
 from loomgraph.llm.subjects import composition, document_subjects
+from loomgraph.llm.syntax.check import error_rates, parse_errors
 from loomgraph.llm.tokenize import encode_corpus
 from loomgraph.session import table
 
 TOKENIZERS = os.environ.get("LOOMGRAPH_TOKENIZERS", "/opt/tokenizers")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that do not parse."""
+    return parse_errors(table(spark, sf_dir, "documents"), key="doc_id", path="path", text="text").select("doc_id")
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of files that do not parse, per repository and language."""
+    files = table(spark, sf_dir, "documents")
+    where = {"key": "doc_id", "path": "path", "text": "text"}
+    return error_rates(files, parse_errors(files, **where), **where, by=["source", "lang"])
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(table(spark, sf_dir, "documents"), key="doc_id", text="text", vocabulary=f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
@@ -48,5 +61,5 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composition(_subjects(spark, sf_dir))
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_composition": p10_composition}
+QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_composition": p10_composition}
 ORACLES: dict[str, str] = {}

@@ -14,8 +14,8 @@ from loomgraph.llm.syntax.tables import END, Tables
 _ID = r"[^\W\d]\w*"
 _NUMBER = r"0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?\w*|0[bBoO][0-7_]+\w*|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[a-zA-Z]*"
 _C_COMMENTS = r"//[^\n\r]*|/\*(?s:.*?)\*/"
-_DQ = r'"(?:[^"\\\n\r]|\\(?:\r\n|(?s:.)))*"'
-_SQ = r"'(?:[^'\\\n\r]|\\(?:\r\n|(?s:.)))*'"
+_DQ = r'"(?:[^"\\\n\r]++|\\(?:\r\n|(?s:.)))*+"'
+_SQ = r"'(?:[^'\\\n\r]++|\\(?:\r\n|(?s:.)))*+'"
 
 
 class Lexer:
@@ -36,8 +36,8 @@ class Lexer:
         self.keywords = {t for t in tables.terminals if t[0].isalpha() and not t.isupper()}
         ops = sorted(self.operators.split(), key=len, reverse=True)
         body = "|".join([*self.extra, *self.strings, self.ident, self.number, *map(re.escape, ops), r"\S"])
-        self.find = re.compile(rf"(?:{self.blanks}|{self.comments})*({body}|\Z)").findall
-        self.scan = re.compile(rf"(?:{self.blanks}|{self.comments})*({body}|\Z)")
+        self.find = re.compile(rf"(?:{self.blanks}|{self.comments})*+({body}|\Z)").findall
+        self.scan = re.compile(rf"(?:{self.blanks}|{self.comments})*+({body}|\Z)")
         self.number_of = tables.number
         self.error = len(tables.terminals)
         lexer = self
@@ -104,13 +104,13 @@ class JsonLexer(Lexer):
 
 class PythonLexer(Lexer):
     blanks, comments = r"[ \t\f]+", r"\\\r?\n|\\\r"
-    _body = {q: rf"(?:[^{q}\\\n\r]|\\(?:\r\n|(?s:.)))*" for q in "'\""}
-    _hole = r"\{(?:[^{}\"']|\"[^\"\n]*\"|'[^'\n]*'|\{[^{}]*\})*\}"
+    _body = {q: rf"(?:[^{q}\\\n\r]++|\\(?:\r\n|(?s:.)))*+" for q in "'\""}
+    _hole = r"\{(?:[^{}\"']++|\"[^\"\n]*\"|'[^'\n]*'|\{[^{}]*\})*+\}"
     strings = (
-        r'(?i:[rbuft]|[bft]r|r[bft])?"""(?s:(?:[^\\"]|\\.|"(?!""))*)"""',
-        r"(?i:[rbuft]|[bft]r|r[bft])?'''(?s:(?:[^\\']|\\.|'(?!''))*)'''",
-        rf'(?i:[ft]|[ft]r|r[ft])"(?:[^"\\\n\r{{]|\\(?:\r\n|(?s:.))|\{{\{{|{_hole})*"',
-        rf"(?i:[ft]|[ft]r|r[ft])'(?:[^'\\\n\r{{]|\\(?:\r\n|(?s:.))|\{{\{{|{_hole})*'",
+        r'(?i:[rbuft]|[bft]r|r[bft])?"""(?s:(?:[^\\"]++|\\.|"(?!""))*+)"""',
+        r"(?i:[rbuft]|[bft]r|r[bft])?'''(?s:(?:[^\\']++|\\.|'(?!''))*+)'''",
+        rf'(?i:[ft]|[ft]r|r[ft])"(?:[^"\\\n\r{{]++|\\(?:\r\n|(?s:.))|\{{\{{|{_hole})*+"',
+        rf"(?i:[ft]|[ft]r|r[ft])'(?:[^'\\\n\r{{]++|\\(?:\r\n|(?s:.))|\{{\{{|{_hole})*+'",
         rf'(?i:[rbu]|br|rb)?"{_body[chr(34)]}"',
         rf"(?i:[rbu]|br|rb)?'{_body[chr(39)]}'",
     )
@@ -274,7 +274,7 @@ class TsLexer(JsLexer):
 class JavaLexer(Lexer):
     blanks = r"[ \t\n\r\f\x1a]+"
     ident = r"(?:[^\W\d]|\$)(?:\w|\$)*"
-    strings = (r'"""(?s:(?:[^\\"]|\\.|"(?!""))*)"""', _DQ, r"'(?:[^'\\\n\r]|\\u+[0-9a-fA-F]{4}|\\[0-7]{1,3}|\\.)'")
+    strings = (r'"""(?s:(?:[^\\"]++|\\.|"(?!""))*+)"""', _DQ, r"'(?:[^'\\\n\r]|\\u+[0-9a-fA-F]{4}|\\[0-7]{1,3}|\\.)'")
     extra = (r"\.[ \t]*class\b",)
     operators = ">>>= ... <<= >>= -> :: == != <= >= && || ++ -- += -= *= /= %= &= |= ^= << + - * / % & | ^ ~ ! < > ( ) [ ] { } , : . ; = ? @"
     classes = {

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.contamination import leaked_items
+from loomgraph.llm.secrets import find_credentials, redact
 from loomgraph.llm.subjects import composition, document_subjects
 from loomgraph.llm.syntax.check import error_rates, parse_errors
 from loomgraph.llm.tokenize import encode_corpus
@@ -28,6 +29,24 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return error_rates(files, parse_errors(files, **where), **where, by=["source", "lang"])
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that may hold credentials: documents, and the snippets of findings, of which repeats count once."""
+    documents = table(spark, sf_dir, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("rec_id"), F.col("source").alias("owner"), "text")
+    findings = table(spark, sf_dir, "findings").select(F.lit("findings").alias("src"), F.col("id").alias("rec_id"), F.col("repo").alias("owner"), F.col("snippet").alias("text")).distinct()
+    return documents.union(findings)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines on which a credential starts."""
+    return find_credentials(_texts(spark, sf_dir)).select("src", "rec_id", F.when(F.col("src") == "findings", 1).otherwise(F.col("line_no")).alias("line_no")).distinct()
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold credentials, with these masked."""
+    documents = _texts(spark, sf_dir).filter("src = 'documents'")
+    return redact(documents, find_credentials(_texts(spark, sf_dir)).filter("src = 'documents'")).select(F.col("rec_id").cast("bigint").alias("doc_id"), "text")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(table(spark, sf_dir, "documents"), key="doc_id", text="text", vocabulary=f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
@@ -61,5 +80,5 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composition(_subjects(spark, sf_dir))
 
 
-QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_composition": p10_composition}
+QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_composition": p10_composition}
 ORACLES: dict[str, str] = {}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.contamination import leaked_items
+from loomgraph.llm.handwritten import not_handwritten
 from loomgraph.llm.secrets import find_credentials, redact
 from loomgraph.llm.subjects import composition, document_subjects
 from loomgraph.llm.syntax.check import error_rates, parse_errors
@@ -29,6 +30,20 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return error_rates(files, parse_errors(files, **where), **where, by=["source", "lang"])
 
 
+def _machine_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_handwritten(table(spark, sf_dir, "documents"), key="doc_id", path="path", owner="source", text="text")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that were not written by hand."""
+    return _machine_made(spark, sf_dir).select("doc_id")
+
+
+def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that were not written by hand, counted by reason."""
+    return _machine_made(spark, sf_dir).groupBy("reason").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that may hold credentials: documents, and the snippets of findings, of which repeats count once."""
     documents = table(spark, sf_dir, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("rec_id"), F.col("source").alias("owner"), "text")
@@ -80,5 +95,5 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composition(_subjects(spark, sf_dir))
 
 
-QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_composition": p10_composition}
+QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_reasons": p5_reasons, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_composition": p10_composition}
 ORACLES: dict[str, str] = {}

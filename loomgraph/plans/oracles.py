@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import oracle_problems
+from loomgraph.plans import oracle_problems, star
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracle_problems.ORACLES}
+    return {**star.ORACLES, **oracle_problems.ORACLES}

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import problems
+from loomgraph.plans import problems, star
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**problems.QUERIES}
+    return {**star.QUERIES, **problems.QUERIES}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import oracle_problems, star
+from loomgraph.plans import oracle_problems, oracle_tables, star
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**star.ORACLES, **oracle_problems.ORACLES}
+    return {**star.ORACLES, **oracle_tables.ORACLES, **oracle_problems.ORACLES}

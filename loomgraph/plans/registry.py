@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import problems, star
+from loomgraph.plans import problems, star, tables
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**star.QUERIES, **problems.QUERIES}
+    return {**star.QUERIES, **tables.QUERIES, **problems.QUERIES}

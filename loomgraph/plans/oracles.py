@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from loomgraph.plans import oracle_problems, oracle_tables, star
+from loomgraph.streaming import watch
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**star.ORACLES, **oracle_tables.ORACLES, **oracle_problems.ORACLES}
+    return {**star.ORACLES, **oracle_tables.ORACLES, **watch.ORACLES, **oracle_problems.ORACLES}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.plans import problems, star, tables
+from loomgraph.streaming import watch
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**star.QUERIES, **tables.QUERIES, **problems.QUERIES}
+    return {**star.QUERIES, **tables.QUERIES, **watch.QUERIES, **problems.QUERIES}

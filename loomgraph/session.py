@@ -9,6 +9,8 @@ executor never loses a staged table.
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -60,6 +62,23 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster, once an application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped or spark.sparkContext.master.startswith("local["):
+        return
+    _shipped.add(app)
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="loomgraph-ship-")
+    made = shutil.make_archive(os.path.join(folder, "loomgraph"), "zip", os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(made)
+    shutil.rmtree(folder, ignore_errors=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

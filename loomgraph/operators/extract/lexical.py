@@ -157,8 +157,10 @@ def extractor(language: str):
             open_ = code.find("{", m.end() - 1) if spec.braces else -1
             end = _close(code, open_) if open_ >= 0 and open_ - m.end() <= 1 else m.end()
             if not spec.braces:
-                following = types.search(code, m.end())
-                end = following.start() if following else len(code)
+                # the block ends with the "end" at the indentation of its head
+                indent = re.match(r"\n?([ \t]*)", code[m.start() :]).group(1)
+                closing = re.compile(rf"^{indent}end\b", re.M).search(code, m.end())
+                end = closing.start() if closing else len(code)
             bases = [re.sub(r"<.*", "", b).strip().rpartition(".")[2].rpartition("\\")[2] for b in re.split(r",|\bextends\b|\bimplements\b|\bwith\b", re.sub(r"\([^)]*\)|\b(?:public|private|protected|virtual)\b", "", m.group("bases") or ""))]
             bases = [b for b in bases if _WORD.fullmatch(b)]
             found = [x for x in methods.finditer(code, m.end(), end)] if end > m.end() else []

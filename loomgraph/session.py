@@ -75,7 +75,8 @@ def ship(spark: SparkSession) -> None:
     folder = tempfile.mkdtemp(prefix="loomgraph-ship-")
     made = shutil.make_archive(os.path.join(folder, "loomgraph"), "zip", os.path.dirname(package), os.path.basename(package))
     spark.sparkContext.addPyFile(made)
-    shutil.rmtree(folder, ignore_errors=True)
+    # the driver serves the archive from here to every executor that starts
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -96,7 +96,7 @@ statement: block | ";" | declaration | "if" "(" exprs ")" statement | "if" "(" e
   | "switch" "(" exprs ")" "{" case* "}" | name ":" statement | sexprs ";"
 catch: "catch" block | "catch" "(" binding ")" block
 case: "case" exprs ":" statement* | "default" ":" statement*
-for_head: (varkind vars | exprs)? ";" exprs? ";" exprs? | varkind binding ("of" | "in") exprs | chain "of" exprs
+for_head: (varkind vars | exprs)? ";" exprs? ";" exprs? | varkind binding ("of" | "in") exprs | operand "in" exprs | chain "of" exprs
 vars: var | vars "," var
 varkind: "var" | "const" | "let"
 name: NAME | "of" | "async" | "get" | "set" | "static" | "from" | "as" NAMES_TS
@@ -230,7 +230,7 @@ tmember: "readonly"? propname "?"? annotation? | methodhead | "readonly"? indexe
 ).replace(
     'newexpr: "new" newtarget "(" args? ")"', 'newexpr: "new" newtarget typeargs? "(" args? ")"'
 ).replace(
-    'binary: "BINOP"', 'binary: "|" | "&" | "BINOP"'
+    'binary: "BINOP"', 'binary: "|" | "&" | ">" ">" | ">" ">" ">" | ">" ">" "=" | ">" ">" ">" "=" | "BINOP"'
 )
 
 _WORDS = "var const let if else for while do return break continue throw debugger try catch finally switch case default in instanceof new this super null true false typeof void delete await yield function class extends import export enum".split()
@@ -246,7 +246,7 @@ typedecl: modifier* class | modifier* interface | modifier* enum | modifier* rec
 modifier: "MODIFIER" | "static" | "final" | "default" | "synchronized" | "sealed" | "non" "ADDOP" "sealed" | annotation
 annotation: "@" qname | "@" qname "(" ")" | "@" qname "(" annargs ")"
 annargs: annarg | annargs "," annarg
-annarg: expr | annarray | annotation
+annarg: expr | annarray | annotation | name "=" annarray | name "=" annotation
 annarray: "{" "}" | "{" annargs ","? "}"
 qname: name | qname "." name
 name: NAME | "record" | "sealed" | "permits" | "yield" | "var" | "non"
@@ -304,7 +304,7 @@ labels: labelitem | labels "," labelitem
 labelitem: expr | type name | "default"
 expr: chain | lambda
 chain: operand | chain binary operand | chain "?" expr ":" expr | chain "instanceof" "final"? type name? | chain binary lambda
-binary: "BINOP" | "ADDOP" | "*" | "=" | "<" | ">" | "&" | "|"
+binary: "BINOP" | "ADDOP" | "*" | "=" | "<" | ">" | ">" ">" | ">" ">" ">" | "&" | "|"
 lambda: name "->" lambody | "(" ")" "->" lambody | "(" names ")" "->" lambody | "(" params ")" "->" lambody
 names: name "," name | names "," name
 lambody: expr | block
@@ -357,12 +357,12 @@ statement: block | ";" | exprs ";" | "if" "(" exprs ")" statement | "if" "(" exp
 exprs: expr | exprs "," expr
 expr: operand | expr binary operand | expr "?" exprs? ":" operand
 binary: "BINOP" | "ADDOP" | "*" | "&" | "="
-operand: postfix | unary operand | "(" typename ")" operand | "sizeof" operand | "sizeof" "(" typename ")" | "(" typename ")" "{" inits ","? "}"
+operand: postfix | unary operand | "(" typename ")" operand | "sizeof" operand | "sizeof" "(" typename ")"
 unary: "ADDOP" | "*" | "&" | "!" | "~" | "INCR"
 typename: specs_t abstract?
 specs_t: spec_t | specs_t spec_t
 spec_t: "TYPE" | "QUALIFIER" | NAME | ("struct" | "union" | "enum") NAME
-postfix: NAME | NUMBER | strings | "(" exprs ")" | postfix "(" args? ")" | postfix "[" exprs "]" | postfix "." NAME | postfix "ARROW" NAME | postfix "INCR"
+postfix: "(" typename ")" "{" inits ","? "}" | NAME | NUMBER | strings | "(" exprs ")" | postfix "(" args? ")" | postfix "[" exprs "]" | postfix "." NAME | postfix "ARROW" NAME | postfix "INCR"
 strings: strpart+
 strpart: STRING | NAME STRING
 args: arg | args "," arg

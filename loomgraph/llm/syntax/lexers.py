@@ -102,6 +102,13 @@ class JsonLexer(Lexer):
         return super().kind(token)
 
 
+_DIGITS = r"\d(?:_?\d)*"
+_PY_NUMBER = re.compile(
+    rf"0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|0(?:_?0)*|[1-9](?:_?\d)*"
+    rf"|(?:(?:{_DIGITS})?\.{_DIGITS}|{_DIGITS}\.)(?:[eE][+-]?{_DIGITS})?[jJ]?|{_DIGITS}[eE][+-]?{_DIGITS}[jJ]?|{_DIGITS}[jJ]"
+)
+
+
 class PythonLexer(Lexer):
     blanks, comments = r"[ \t\f]+", r"\\\r?\n|\\\r"
     _body = {q: rf"(?:[^{q}\\\n\r]++|\\(?:\r\n|(?s:.)))*+" for q in "'\""}
@@ -135,7 +142,7 @@ class PythonLexer(Lexer):
         return super().kind(token)
 
     def is_number(self, token: str) -> bool:
-        return bool(re.fullmatch(r"0[xX](_?[0-9a-fA-F])+|0[bB](_?[01])+|0[oO](_?[0-7])+|0(_?0)*|[1-9](_?\d)*|((\d(_?\d)*)?\.\d(_?\d)*|\d(_?\d)*\.?)([eE][+-]?\d(_?\d)*)?[jJ]?|\d(_?\d)*[jJ]", token))
+        return bool(_PY_NUMBER.fullmatch(token))
 
     def tokens(self, text: str) -> list[int]:
         return self._lay(text)[0]
@@ -151,7 +158,7 @@ class PythonLexer(Lexer):
         for i, token in enumerate(found):
             k = kinds[token]
             if k == newline:
-                if depth or token[0] == "#":
+                if depth or "\n" not in token and "\r" not in token:
                     continue
                 width = token[max(token.rfind("\n"), token.rfind("\r")) + 1 :]
                 if "#" in width:

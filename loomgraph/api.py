@@ -66,7 +66,7 @@ class Engine:
         """Dependents of an entity, or of a method if no entity has the name."""
         if not graph.resolve(self.entities, entity).isEmpty():
             found = graph.impact(self.entities, self.edges, entity, depth=depth, kinds=via_kinds, exclude_tests=exclude_tests)
-            return self._slim(found, slim).orderBy("hop", "ord", "id")
+            return self._slim(found, slim).orderBy("hop", "id")
         return self.impact_method(entity, depth=depth, exclude_tests=exclude_tests, slim=slim)
 
     def impact_method(self, method: str, depth: int = 2, exclude_tests: bool = False, slim: bool = False) -> DataFrame:

@@ -9,6 +9,8 @@ large one shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,37 +42,60 @@ def resolve(entities: DataFrame, wanted: str) -> DataFrame:
     return by_id.unionByName(by_name).orderBy("_tier", "seq").limit(1).drop("_tier")
 
 
-def expand(start: DataFrame, edges: DataFrame, hops: int, *, until: str | None = None) -> DataFrame:
-    """Breadth-first search along ``src, dst, label, pos`` (more columns are kept) from the ids of ``start``.
+class Search:
+    """One breadth-first search: all nodes met, and the frontier that was met last.
 
-    Result: ``id, hop, parent, label, via, ord`` - the first way each node is
-    met, by (hop, order of the parent, edge position, ids).  Cycles and self
-    loops end at nodes already met.  ``until`` stops once that node is met.
+    A node keeps the first way it was met: least parent, edge position and label.
     """
-    columns = ["id", "hop", "parent", "label", "via", "ord"]
-    seen = stage(start.select(F.col("id"), F.lit(0).alias("hop"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("label"), F.lit("").alias("via"), F.array(F.lit(0).cast("bigint")).alias("ord")).distinct(), "bfs")
-    frontier, parts = seen, [seen]
-    for hop in range(1, hops + 1):
-        step = frontier.select(F.col("id").alias("src"), F.col("via").alias("_via"), F.col("ord").alias("_ord")).join(edges, "src")
-        first = F.min(F.struct(F.col("_ord"), F.col("pos"), F.col("src"), F.col("label"), F.col("_via"))).alias("f")
-        met = step.groupBy(F.col("dst").alias("id")).agg(first)
-        done = parts[0].select("id")
-        for p in parts[1:]:
-            done = done.union(p.select("id"))
+
+    COLUMNS = ("id", "hop", "parent", "label", "via")
+
+    def __init__(self, start: DataFrame, avoid: DataFrame | None = None) -> None:
+        self.avoid = avoid  # ids that are never met
+        none = F.lit(None).cast("string")
+        self.frontier = stage(start.select(F.col("id"), F.lit(0).alias("hop"), none.alias("parent"), none.alias("label"), F.lit("").alias("via")).distinct(), "bfs")
+        self.parts, self.hop, self.size = [self.frontier], 0, self.frontier.count()
+
+    def seen(self) -> DataFrame:
+        return reduce(DataFrame.union, self.parts)
+
+    def grow(self, edges: DataFrame) -> None:
+        """Meet the neighbours of the frontier along ``src, dst, label, pos``."""
+        self.hop += 1
+        step = self.frontier.select(F.col("id").alias("src"), F.col("via").alias("_via")).join(edges, "src")
+        met = step.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("src", "pos", "label", "_via")).alias("f"))
+        if self.avoid is not None:
+            met = met.join(self.avoid, "id", "left_anti")
         via = F.when(F.col("f._via") == "", F.col("f.label")).otherwise(F.concat_ws(" -> ", "f._via", "f.label"))
-        new = met.join(done, "id", "left_anti").select("id", F.lit(hop).alias("hop"), F.col("f.src").alias("parent"), F.col("f.label").alias("label"), via.alias("via"), F.concat("f._ord", F.array(F.col("f.pos").cast("bigint"))).alias("ord"))
-        frontier = stage(new, f"bfs-{hop}")
-        parts.append(frontier)
-        if frontier.isEmpty() or (until is not None and not frontier.filter(F.col("id") == until).isEmpty()):
+        new = met.join(self.seen().select("id"), "id", "left_anti").select("id", F.lit(self.hop).alias("hop"), F.col("f.src").alias("parent"), F.col("f.label").alias("label"), via.alias("via"))
+        self.frontier = stage(new, f"bfs-{self.hop}")
+        self.parts.append(self.frontier)
+        self.size = self.frontier.count()  # from the footers of what was just written
+
+    def trace(self, node: str) -> list[tuple[str, str | None, str | None]]:
+        """(node, parent, label) from a node back to the start: one lookup a hop."""
+        out, at = [], node
+        seen = self.seen()
+        while at is not None:
+            row = seen.filter(F.col("id") == at).select("parent", "label").first()
+            out.append((at, row["parent"], row["label"]))
+            at = row["parent"]
+        return out
+
+
+def expand(start: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """``id, hop, parent, label, via`` of all nodes within ``hops`` of the ids of ``start``; cycles and self loops end at nodes already met."""
+    held = stage(edges.select("src", "dst", "label", F.col("pos").cast("bigint").alias("pos")), "bfs-edges")
+    search = Search(start)
+    for _ in range(hops):
+        search.grow(held)
+        if not search.size:
             break
-    out = parts[0].select(*columns)
-    for p in parts[1:]:
-        out = out.union(p.select(*columns))
-    return out
+    return search.seen().select(*Search.COLUMNS)
 
 
 def impact(entities: DataFrame, edges: DataFrame, subject: str, *, depth: int = 2, kinds: list[str] | None = None, exclude_tests: bool = False, strict_depth: bool = False) -> DataFrame:
-    """What depends on an entity: ``id, hop, via, ord`` by reverse search over impact edges.
+    """What depends on an entity: ``id, hop, via`` by reverse search over impact edges.
 
     ``depth`` is clamped to 1-4; nodes at ``depth`` are still expanded unless
     ``strict_depth``.  ``kinds`` narrows the edges that are followed, while
@@ -84,7 +109,7 @@ def impact(entities: DataFrame, edges: DataFrame, subject: str, *, depth: int =
     found = expand(resolve(entities, subject).select("id"), back, depth + (0 if strict_depth else 1)).filter("hop > 0").join(live, "id")
     if exclude_tests:
         found = found.filter(~is_test_path(F.col("file_path")))
-    return found.select("id", "hop", "via", "ord")
+    return found.select("id", "hop", "via")
 
 
 def hubs(edges: DataFrame, *, kind: str = "calls", least: int = HUB_CALLERS) -> DataFrame:
@@ -98,13 +123,12 @@ def skip_nodes(entities: DataFrame, edges: DataFrame, keep: list[str]) -> DataFr
     return odd.union(hubs(edges).select("id")).distinct().filter(~F.col("id").isin(keep))
 
 
-def _both_ways(edges: DataFrame, nodes: DataFrame, kinds: list[str] | None) -> DataFrame:
-    use = edges if kinds is None else edges.filter(F.col("kind").isin(kinds))
+def _both_ways(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges in both directions, reverse ones marked with "<" and behind forward ones; ends must exist."""
     kind = F.coalesce("kind", F.lit("related_to")).alias("label")
-    # forward neighbours before reverse ones
-    ahead = use.select("src", "dst", kind, F.col("pos").cast("bigint").alias("pos"))
-    behind = use.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.concat(F.lit("<"), kind).alias("label"), (F.col("pos") + (1 << 31)).alias("pos"))
-    return ahead.union(behind).join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "label", "pos")
+    known = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    turns = F.array(F.struct(F.col("src").alias("src"), F.col("dst").alias("dst"), kind, F.col("pos").cast("bigint").alias("pos")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.concat(F.lit("<"), kind).alias("label"), (F.col("pos") + (1 << 31)).alias("pos")))
+    return known.select(F.inline(turns))
 
 
 def shortest_path(entities: DataFrame, edges: DataFrame, start: str, end: str, *, max_hops: int = 6) -> DataFrame:
@@ -125,26 +149,41 @@ def shortest_path(entities: DataFrame, edges: DataFrame, start: str, end: str, *
         return spark.createDataFrame([(0, a, None, None, "semantic")], schema)
     live = entities.filter("status != 'deleted'").select("id", "name", "file_path")
     skip = stage(skip_nodes(live, edges, [a, b]), "path-skip")
-    thin = live.join(skip, "id", "left_anti")
+    ways = stage(_both_ways(edges, live), "path-edges")
+    semantic = ways.filter(F.ltrim(F.col("label"), F.lit("<")).isin(SEMANTIC_KINDS))
     some = not skip.isEmpty()
-    tries = [(SEMANTIC_KINDS, thin, "semantic", some), (SEMANTIC_KINDS, live, "semantic", True), (None, thin, "structural", some), (None, live, "structural", True)]
-    origin = spark.createDataFrame([(a,)], "id string")
-    for kinds, nodes, name, wanted in tries:
-        if not wanted:
-            continue
-        found = expand(origin, _both_ways(edges, nodes, kinds), max_hops, until=b)
-        if found.filter(F.col("id") == b).isEmpty():
-            continue
-        steps, at = [], b
-        while at is not None:  # at most max_hops lookups
-            row = found.filter(F.col("id") == at).select("id", "hop", "parent", "label").first()
-            back = (row["label"] or "").startswith("<")
-            steps.append((row["hop"], row["id"], row["label"] and row["label"].lstrip("<"), back if row["label"] else None, name))
-            at = row["parent"]
-        return spark.createDataFrame(steps[::-1], schema)
+    tries = [(semantic, skip, "semantic", some), (semantic, None, "semantic", True), (ways, skip, "structural", some), (ways, None, "structural", True)]
+    for use, avoid, name, wanted in tries:
+        found = _meet(use, avoid, a, b, max_hops) if wanted else None
+        if found:
+            rows = [(i, node, label and label.lstrip("<"), label.startswith("<") if label else None, name) for i, (node, label) in enumerate(found)]
+            return spark.createDataFrame(rows, schema)
     return spark.createDataFrame([], schema)
 
 
+def _meet(ways: DataFrame, avoid: DataFrame | None, a: str, b: str, max_hops: int) -> list[tuple[str, str | None]] | None:
+    """(node, label of the step to it) along a shortest path; None if there is none.
+
+    Both ends search, the one with the smaller frontier going on, so a search
+    that must fail ends as soon as either end is exhausted.
+    """
+    spark = ways.sparkSession
+    ahead, behind = (Search(spark.createDataFrame([(x,)], "id string"), avoid) for x in (a, b))
+    for _ in range(max_hops):
+        side, other = (ahead, behind) if ahead.size <= behind.size else (behind, ahead)
+        side.grow(ways)
+        if not side.size:
+            return None
+        both = side.frontier.select("id", F.col("hop").alias("h1")).join(other.seen().select("id", F.col("hop").alias("h2")), "id")
+        at = both.select("id", (F.col("h1") + F.col("h2")).alias("n")).orderBy("n", "id").first()
+        if at:
+            head = [(node, label) for node, _, label in reversed(ahead.trace(at["id"]))]
+            # a step of the search from the end is walked the other way round
+            turn = lambda label: label[1:] if label.startswith("<") else f"<{label}"
+            return head + [(parent, turn(label)) for _, parent, label in behind.trace(at["id"]) if parent is not None]
+    return None
+
+
 def neighborhood(entities: DataFrame, edges: DataFrame, center: str, *, depth: int = 2, direction: str = "both", kinds: list[str] | None = None, max_nodes: int | None = 40) -> tuple[DataFrame, DataFrame]:
     """Nodes (``id, hop``) and edges (``src, dst, kind``) around a node, for a diagram.
 
@@ -158,9 +197,9 @@ def neighborhood(entities: DataFrame, edges: DataFrame, center: str, *, depth: i
     out = known.select("src", "dst", F.col("kind").alias("label"), F.col("pos").cast("bigint").alias("pos"))
     back = known.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("kind").alias("label"), (F.col("pos") + (1 << 31)).alias("pos"))
     ways = {"out": out, "in": back, "both": out.union(back)}[direction]
-    nodes = expand(resolve(entities, center).select("id"), ways, depth).select("id", "hop", "ord")
+    nodes = expand(resolve(entities, center).select("id"), ways, depth).select("id", "hop")
     if max_nodes is not None:
-        nodes = nodes.orderBy("hop", "ord", "id").limit(max(5, min(150, max_nodes)))
+        nodes = nodes.orderBy("hop", "id").limit(max(5, min(150, max_nodes)))
     ids = stage(nodes.select("id", "hop"), "neighborhood")
     inner = known.select("src", "dst", "kind").distinct().join(ids.select(F.col("id").alias("src"), F.col("hop").alias("h1")), "src").join(ids.select(F.col("id").alias("dst"), F.col("hop").alias("h2")), "dst")
     # an edge is met when one of its ends is expanded in its direction

@@ -29,19 +29,31 @@ def scannable(files: DataFrame) -> DataFrame:
     return files.withColumn("language", lookup(suffix(F.col("path")), RULE_LANGUAGES)).filter((F.col("language") != "") & ~skip)
 
 
+def required_literal(regex: str) -> str:
+    """The longest text, in lower case, that every match of an expression holds; '' if none is plain to see."""
+    best = run = ""
+    for op, arg in re._parser.parse(regex):
+        run = run + chr(arg) if op is re._constants.LITERAL else ""
+        best = max(best, run, key=len)
+    return best.lower()
+
+
 def matcher(rules: tuple[Rule, ...]):
     """(language, text) to the rule hits (rule, line, snippet), in catalog order."""
-    by: dict[str, list[tuple[Rule, re.Pattern]]] = {}
+    by: dict[str, list[tuple[Rule, re.Pattern, str]]] = {}
     for rule in rules:
         compiled = re.compile(rule.regex, re.I | (re.M if rule.multiline else 0))
         for language in languages(rule):
-            by.setdefault(language, []).append((rule, compiled))
+            by.setdefault(language, []).append((rule, compiled, required_literal(rule.regex)))
 
     def match(language: str, text: str | None) -> list[tuple[str, int, str]]:
         if not text or not text.strip() or language not in by:
             return []
-        lines, out = text.split("\n"), []
-        for rule, compiled in by[language]:
+        lines, out, low = text.split("\n"), [], text.lower()
+        plain = "\u017f" not in text  # matches s in any case, but is no s in lower case
+        for rule, compiled, literal in by[language]:
+            if plain and literal not in low:
+                continue
             seen = set()
             for m in compiled.finditer(text):
                 if m.end() == m.start():

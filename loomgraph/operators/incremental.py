@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+WRITERS = 4  # tasks that write one version
+
+
 class ConflictError(Exception):
     """Another writer committed the version first."""
 
@@ -184,7 +187,9 @@ def versions_by_cutoff(spark: SparkSession, path: str, rows: DataFrame, arrived:
     log = VersionedTable(spark, path)
     known = F.array(*[F.lit(c).cast("timestamp_ntz" if dict(rows.dtypes)[arrived] == "timestamp_ntz" else "timestamp") for c in cutoffs])
     stamped = rows.filter(F.col(arrived).isNotNull()).withColumn("_at", F.size(F.filter(known, lambda c: c < F.col(arrived)))).filter(F.col("_at") < len(cutoffs))
-    groups = log.write_files(stamped, split="_at")
+    # rows of a version meet in a few tasks, salted so that a version with most of the rows is not one
+    spread = stamped.repartition(F.col("_at"), F.pmod(F.xxhash64(*[c for c in rows.columns if c != arrived]), F.lit(WRITERS)))
+    groups = log.write_files(spread, split="_at")
     files: dict[str, str | None] = {}
     for i in range(len(cutoffs)):
         files = {**files, **dict.fromkeys(groups.get(str(i), []))}

@@ -1,5 +1,5 @@
 import pytest
-from oracle import connect, rows
+from tests.oracle import connect, rows
 
 from loomgraph.plans import oracles, registry
 

@@ -96,4 +96,10 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_reasons": p5_reasons, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_composition": p10_composition}
-ORACLES: dict[str, str] = {}
+_LEAKS = """
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents WHERE text IS NOT NULL),
+i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM heldout_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, array_to_string(ws[n:n + 12], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS n FROM d)),
+ig AS (SELECT item_id, array_to_string(ws[n:n + 12], ' ') AS gram FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 11)) AS n FROM i))
+"""
+ORACLES: dict[str, str] = {"p9_found": _LEAKS + "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (gram)"}

@@ -34,6 +34,7 @@ _WORDS = frozenset("def class return if else elif for while in not and or import
 _PROSE = r"\.(?:md|txt|rst|env|ini)$"
 NAME, NUMBER, STRING, BLOB = 1, 2, 3, 4
 LONG = 24  # characters from which a literal may be data
+LEAST_SHARED = 60  # shared tokens from which a text is a copied file and no common page or preamble
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -227,7 +228,7 @@ def not_handwritten(files: DataFrame, *, key: str, path: str, owner: str, text:
     shared = rows.groupBy(key, "rule").agg(F.sum("length").alias("length")).join(widely, "rule", "left_semi").groupBy(key).agg(F.sum("length").alias("shared"))
     judged = code.drop("rules").join(shared, key, "left").withColumn("shared", F.coalesce(F.col("shared"), F.lit(0)) / F.greatest(F.col("n_tokens"), F.lit(1)))
     reason = (
-        F.when((F.col("shared") >= min_shared) & (F.col("n_tokens") >= 40), "vendored")
+        F.when((F.col("shared") >= min_shared) & (F.col("shared") * F.col("n_tokens") >= LEAST_SHARED), "vendored")
         .when((F.col("line_tokens") >= 60) & (F.col("n_tokens") >= 150), "minified")
         .when(F.col("blob") >= 0.5, "blob")
         .when((F.col("reuse") >= 4.5) | (F.col("reuse") >= 2.4) & (F.col("rule_share") >= 0.65), "generated")

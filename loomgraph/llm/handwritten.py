@@ -28,7 +28,16 @@ from pyspark.sql import functions as F
 from loomgraph.session import stage
 
 _TOKEN = re.compile(r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|[^\W\d][\w$]*|\$[\w$]*|\d[\w.]*|[^\w\s]")
-_COMMENT = re.compile(r"/\*.*?\*/|//[^\n]*|^[ \t]*#[^\n]*|\"\"\".*?\"\"\"", re.S | re.M)
+# Literals stand beside comments, so that no comment starts within one; group 1 is what stays.  A regular expression
+# stands where no division can; `//` after a colon is an address in plain text.  All start with a fixed character: fast.
+_COMMENT = re.compile(
+    r"/\*.*?\*/|\"\"\".*?\"\"\"|^[ \t]*#[^\n]*"
+    r"|(\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|```|`(?:[^`\\]++|\\.)*+`"
+    r"|/(?![/*])(?:(?<=[(,=:\[!&|?{};+~>\n]/)|(?<=[(,=:\[!&|?{};+~>] /)|(?<=\breturn/)|(?<=\breturn /)|(?<=\bcase /)|(?<=\btypeof /))(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/"
+    r"|url\([^()\"'\n]*\))"
+    r"|(?<![:/])//[^\n]*",
+    re.S | re.M,
+)
 # words that are tokens of their own; all others are names
 _WORDS = frozenset("def class return if else elif for while in not and or import from package public private protected static final const let var function func int char short long float double void struct enum new this self None True False true false nil null type interface export extends implements case switch default break continue range try except catch finally throw raise with as is lambda await async yield typedef unsigned signed defer go map chan boolean String".split())
 _PROSE = r"\.(?:md|txt|rst|env|ini)$"
@@ -181,7 +190,7 @@ SIGNALS = "n_tokens int, reuse double, rule_share double, line_tokens double, bl
 
 
 def _measure(texts: list[str | None], memory: _Tokens) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], tuple]:
-    found = [_TOKEN.findall(_COMMENT.sub(" ", t)) if t else [] for t in texts]
+    found = [_TOKEN.findall(_COMMENT.sub(r"\1 ", t)) if t else [] for t in texts]
     sizes = np.array([len(f) for f in found], dtype=np.int64)
     packed = np.fromiter((memory[w] for f in found for w in f), dtype=np.int64, count=int(sizes.sum())).astype(np.uint64)
     files = np.repeat(np.arange(len(texts)), sizes)

@@ -113,3 +113,23 @@ def test_consistent_rules_are_shared():
         rules.append(dict(zip(s.tolist(), length.tolist())))
     common = sum(n for s, n in rules[0].items() if s in rules[1])
     assert common >= 300
+
+
+def words(text):
+    return H._TOKEN.findall(H._COMMENT.sub(r"\1 ", text))
+
+
+def test_no_comment_starts_within_a_literal(spark):
+    body = minified(random.Random(4))
+    starts = ['fetch("https://x.example/api");', "fetch('//x.example');", "var a=`//${b}`;", r"var a=/^https?:\/\//i;", "if(/[/]//.test(b))c();", "return /a\\//;", 'var a="/*";', "a{background:url(//x.example/a.png)}"]
+    for start in starts:
+        assert words(start + body)[-40:] == words(body)[-40:], start
+    rows = [(i, "a/b.js", "r1", start + body) for i, start in enumerate(starts)]
+    got = H.not_handwritten(spark.createDataFrame(rows, "id bigint, path string, owner string, text string"), key="id", path="path", owner="owner", text="text")
+    assert {r["id"]: r["reason"] for r in got.collect()} == dict.fromkeys(range(len(starts)), "minified")
+
+
+def test_comments_are_no_tokens():
+    for text in ("a = 1 // don't 'b\nc", "a = 1 /* \"b\n */ c", "a = 1\n  # it's\nc", 'a = 1 """b\n\'""" c', "a = 1 //// b\nc", "a = 1 // ```b\nc"):
+        assert words(text) == ["a", "=", "1", "c"], text
+    assert words("a = b / c // d / e\nf") == ["a", "=", "b", "/", "c", "f"]

@@ -43,6 +43,7 @@ _WORDS = frozenset("def class return if else elif for while in not and or import
 _PROSE = r"\.(?:md|txt|rst|env|ini)$"
 NAME, NUMBER, STRING, BLOB = 1, 2, 3, 4
 LONG = 24  # characters from which a literal may be data
+LEAST_CODED = 0.9  # bits of a literal's grammar, to those of random data, from which it is data however long
 LEAST_SHARED = 60  # shared tokens from which a text is a copied file and no common page or preamble
 
 
@@ -71,7 +72,12 @@ def _alternate(keys: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def repair(symbols: np.ndarray, files: np.ndarray, n_files: int, rounds: int = 24, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair on many files: symbols, grammar size of each, and the share of its symbols under its most used rule.
+    """Symbols, grammar size and rule share of each file, see ``_grammars``."""
+    return _grammars(symbols, files, n_files, rounds, least)[:3]
+
+
+def _grammars(symbols: np.ndarray, files: np.ndarray, n_files: int, rounds: int = 24, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair on many files: symbols, grammar size of each, the share of its symbols under its most used rule, and its rules.
 
     Each round replaces, in every file, the pairs that occur at least half as
     often as its most frequent one.  The share counts rules of ``least`` symbols
@@ -124,7 +130,7 @@ def repair(symbols: np.ndarray, files: np.ndarray, n_files: int, rounds: int = 2
             left &= moved
             symbols, files, length = symbols[~out], files[~out], length[~out]
     size = done + np.bincount(files, minlength=n_files) + 2 * rules
-    return n, size, share
+    return n, size, share, rules
 
 
 def consistent_rules(symbols: np.ndarray, files: np.ndarray, least: int = 12, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,15 +181,44 @@ class _Tokens(dict):
         return packed
 
 
+_DATA = re.compile(r"(?P<escapes>(?:\\x[0-9a-fA-F]{2}){6,})|(?P<array>(?:0[xX][0-9a-fA-F]{2},\s*){8,})|(?P<text>[A-Za-z0-9+/=_-]{%d,})" % LONG)
+_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+_FORMAT = re.compile(r"\\x|0[xX]|[,\s]+")
+
+
+def coded_share(symbols: np.ndarray) -> tuple[float, float]:
+    """Of the symbols' Re-Pair grammar: its size to their number, and its bits to those of random symbols of the same alphabet.
+
+    The grammar takes the logarithm of its distinct symbols, rules included, for
+    each symbol.  No code is shorter than random data, so the bits stay near 1 or
+    above at any length and of any alphabet, while the size falls.
+    """
+    distinct = len(np.unique(symbols))
+    if distinct < 2:
+        return 0.0, 0.0
+    _, size, _, rules = _grammars(symbols.astype(np.uint64), np.zeros(len(symbols), dtype=np.int64), 1)
+    share = float(size[0] / len(symbols))
+    return share, share * float(np.log2(distinct + rules[0]) / np.log2(distinct))
+
+
 def literal_share(text: str) -> float:
-    """Share of the text in long literals without blanks that Re-Pair cannot shorten, near one symbol a character."""
-    parts = re.findall(r"[A-Za-z0-9+/=_-]{%d,}|(?:\\x[0-9a-fA-F]{2}){6,}|(?:0x[0-9a-fA-F]{2},\s*){8,}" % LONG, text)
-    total = sum(map(len, parts))
+    """Share of the text in long literals without blanks that Re-Pair cannot shorten; escapes and arrays as the bytes they give."""
+    kinds: dict[str, list[str]] = {"bytes": [], "hex": [], "text": []}
+    total = 0
+    for m in _DATA.finditer(text):
+        total += len(m.group())
+        kind = "bytes" if m.lastgroup != "text" else "hex" if _HEX.fullmatch(m.group()) else "text"
+        kinds[kind].append(m.group())
     if total < 0.3 * len(text):
         return 0.0
-    joined = np.frombuffer("".join(parts).encode("ascii"), dtype=np.uint8).astype(np.uint64)
-    n, size, _ = repair(joined, np.zeros(len(joined), dtype=np.int64), 1)
-    return total / len(text) if size[0] > 0.6 * n[0] else 0.0
+    share = 0.0
+    for kind, parts in kinds.items():
+        joined = "".join(parts)
+        plain = bytes.fromhex(_FORMAT.sub("", joined)) if kind == "bytes" else joined.encode("ascii")
+        size, bits = coded_share(np.frombuffer(plain, dtype=np.uint8))
+        if size > 0.6 or bits > LEAST_CODED:
+            share += len(joined) / len(text)
+    return share
 
 
 SIGNALS = "n_tokens int, reuse double, rule_share double, line_tokens double, blob double"

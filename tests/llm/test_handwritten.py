@@ -133,3 +133,16 @@ def test_comments_are_no_tokens():
     for text in ("a = 1 // don't 'b\nc", "a = 1 /* \"b\n */ c", "a = 1\n  # it's\nc", 'a = 1 """b\n\'""" c', "a = 1 //// b\nc", "a = 1 // ```b\nc"):
         assert words(text) == ["a", "=", "1", "c"], text
     assert words("a = b / c // d / e\nf") == ["a", "=", "b", "/", "c", "f"]
+
+
+def test_data_is_data_at_any_length(spark):
+    rng = random.Random(5)
+    for n in (60, 250, 1000, 20_000, 150_000):
+        data = rng.randbytes(n)
+        for text in (data.hex(), base64.b64encode(data).decode(), "".join(f"\\x{b:02x}" for b in data), "".join(f"0x{b:02x},\n" for b in data)):
+            assert H.literal_share(text) > 0.99, (n, text[:20])
+    for text in ("0123456789abcdef" * 2000, "\\x00\\x01" * 500, "0x00, " * 500, "a" * 900, "src/main/java/org/index/" * 90):
+        assert H.literal_share(text) == 0.0, text[:20]
+    rows = [(1, "a.py", "r1", f'DATA = "{rng.randbytes(20_000).hex()}"\n'), (2, "a.c", "r1", 'char *a = "' + "".join(f"\\x{b:02x}" for b in rng.randbytes(999)) + '";\n')]
+    got = H.not_handwritten(spark.createDataFrame(rows, "id bigint, path string, owner string, text string"), key="id", path="path", owner="owner", text="text")
+    assert {r["id"]: r["reason"] for r in got.collect()} == {1: "blob", 2: "blob"}

@@ -2,9 +2,9 @@
 
 1. Every literal that stands where a credential may stand, or has the structure
    of one, is indexed over the whole corpus with its place and its owner.
-2. Literals that many owners share are placeholders and are dropped; of the rest
-   structured values count as they are, others if they look like generated or
-   chosen secrets.
+2. Literals that many owners share are placeholders and are dropped, but for
+   structured values of no placeholder's shape; of the rest structured values
+   count as they are, others if they look like generated or chosen secrets.
 3. All texts are scanned again for the confirmed secrets, with an Aho-Corasick
    automaton, which also finds them where nothing around them gives them away.
 """
@@ -62,6 +62,9 @@ _PLACEHOLDER = re.compile(
     r"|(?:os|process)\.env.*|getenv.*|System\.getenv.*|.*\.(?:get|getenv|environ)\(.*",
     re.I | re.S,
 )
+# example values of documentation, counted-up letters and digits, omissions; one character over and over
+_FILLER = re.compile(r"example|placeholder|dummy|changeme|redacted|your[_-]|12345678|abcdefgh|\.\.\.|[<*]{3}|\$\{", re.I)
+_RUN = re.compile(r"(.)\1{7}")
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
 _DIGEST = re.compile(r"(?:sha\d*[-:$]|md5[-:]|blake2\w*[-:])", re.I)
 _CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{4,}", re.I)
@@ -118,13 +121,32 @@ def looks_live(value: str) -> bool:
     return lower and upper and (len(re.findall(r"[A-Z]{2,}[a-z]|[a-z][A-Z](?![a-z]{2})", value)) >= 2 or bool(_CONSONANTS.search(value)))
 
 
-def _basic(value: str) -> bool:
+def _userpass(value: str) -> str | None:
+    """The password in a Basic header's value."""
     try:
         plain = base64.b64decode(value + "=" * (-len(value) % 4)).decode("ascii")
     except ValueError:
-        return False
+        return None
     user, colon, password = plain.partition(":")
-    return bool(colon and password) and plain.isprintable() and not _PLACEHOLDER.fullmatch(password)
+    return password if colon and plain.isprintable() else None
+
+
+def _basic(value: str) -> bool:
+    password = _userpass(value)
+    return bool(password) and not _PLACEHOLDER.fullmatch(password)
+
+
+def stands_in(value: str) -> bool:
+    """Has this structured value the shape of a placeholder, so that many owners make it one?"""
+    if _BLOCK.match(value):  # keys hold runs of one character, too
+        return bool(_FILLER.search(value)) or len(set(_BLOCK_END.sub("", _BLOCK.sub("", value)))) < 16
+    if _FILLER.search(value) or _RUN.search(value):
+        return True
+    if _PROVIDER.match(value) or _JWT.match(value):
+        return False
+    # within URLs and headers words are defaults
+    password = _userpass(value)
+    return not looks_live(value if password is None else password)
 
 
 def _joined(text: str, at: int) -> tuple[str, int, int] | None:
@@ -226,7 +248,7 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     return [(v, s, e, hard) for (s, e), (v, hard) in spans if hard or not any(x <= s < y or s <= x < e for x, y in strong)]
 
 
-_PLACES = "src string, rec_id string, owner string, value string, structured boolean, live boolean, first int, last int, line_no int"
+_PLACES = "src string, rec_id string, owner string, value string, structured boolean, live boolean, sure boolean, first int, last int, line_no int"
 
 
 def index_literals(texts: DataFrame) -> DataFrame:
@@ -238,19 +260,24 @@ def index_literals(texts: DataFrame) -> DataFrame:
             for i, text in enumerate(batch.column(3).to_pylist()):
                 if text:
                     for value, s, e, hard in candidates(text):
-                        rows.append((value, hard, looks_live(value), s, e, text.count("\n", 0, s) + 1))
+                        rows.append((value, hard, looks_live(value), hard and not stands_in(value), s, e, text.count("\n", 0, s) + 1))
                         at.append(i)
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(at, pa.int64())) for c in range(3)], *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["src", "rec_id", "owner", "value", "structured", "live", "first", "last", "line_no"])
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(at, pa.int64())) for c in range(3)], *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["src", "rec_id", "owner", "value", "structured", "live", "sure", "first", "last", "line_no"])
 
     return texts.select("src", "rec_id", "owner", "text").mapInArrow(run, _PLACES)
 
 
 def confirmed(places: DataFrame, max_owners: int) -> DataFrame:
-    """Secrets: rare values that are structured, or look live where a credential stands."""
-    by = places.filter("structured or live").groupBy("value", "owner").agg(F.max("structured").alias("structured"))
-    return by.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.max("structured").alias("structured")).filter(F.col("owners") <= max_owners)
+    """Secrets: values that are structured, or look live where a credential stands, and are rare or sure.
+
+    Rare is up to ``max_owners`` owners, or a fifth of all where that is more.
+    Structured values that are no placeholders are sure whatever their owners.
+    """
+    by = places.filter("structured or live").groupBy("value", "owner").agg(F.max("structured").alias("structured"), F.max("sure").alias("sure"))
+    limit = max(max_owners, places.select("owner").distinct().count() // 5)
+    return by.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.max("structured").alias("structured"), F.max("sure").alias("sure")).filter((F.col("owners") <= limit) | F.col("sure")).drop("sure")
 
 
 _automata: dict[int, ahocorasick.Automaton] = {}
@@ -314,8 +341,8 @@ def find_credentials(texts: DataFrame, *, max_owners: int = 8, block: int = 50_0
 
     ``texts`` has ``src, rec_id, owner, text``.  ``first`` and ``last`` are
     character offsets of the value, ``line_no`` the 1-based line it starts on,
-    lines ending with a line feed.  A value of more than ``max_owners`` owners is
-    a placeholder.  Null and empty texts hold nothing; a null owner is an owner;
+    lines ending with a line feed.  A value of more than ``max_owners`` owners
+    and a fifth of all is a placeholder, unless it has a structure of its own.  Null and empty texts hold nothing; a null owner is an owner;
     repeated rows give their places once; other columns are ignored.
     """
     places = stage(index_literals(texts), "secret-places")

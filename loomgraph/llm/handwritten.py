@@ -41,6 +41,12 @@ _COMMENT = re.compile(
 # words that are tokens of their own; all others are names
 _WORDS = frozenset("def class return if else elif for while in not and or import from package public private protected static final const let var function func int char short long float double void struct enum new this self None True False true false nil null type interface export extends implements case switch default break continue range try except catch finally throw raise with as is lambda await async yield typedef unsigned signed defer go map chan boolean String".split())
 _PROSE = r"\.(?:md|txt|rst|env|ini)$"
+# folders of dependencies, of which the first hold nothing else, and the name of the library in them
+_DEPENDENCY = re.compile(r"(?:(?P<sure>(?:^|/)(?:node_modules|bower_components|jspm_packages|site-packages|third[_-]?party)|^vendor)|(?:^|/)(?:vendor|external|extern|deps))/(?P<name>@[^/]+/[^/]+|[^/]+)/", re.I)
+_OPENING = re.compile(r"\ufeff?\s*(?://|/\*|#|--|\"\"\"|'''|<!--)")
+_LICENCE = re.compile(r"licen[cs]e|spdx", re.I)
+_HOLDER = re.compile(r"copyright|\(c\)|upstream|\bv\d+\.\d+", re.I)
+HEAD = 1000  # characters in which a header stands
 NAME, NUMBER, STRING, BLOB = 1, 2, 3, 4
 LONG = 24  # characters from which a literal may be data
 LEAST_CODED = 0.9  # bits of a literal's grammar, to those of random data, from which it is data however long
@@ -221,7 +227,17 @@ def literal_share(text: str) -> float:
     return share
 
 
-SIGNALS = "n_tokens int, reuse double, rule_share double, line_tokens double, blob double"
+def origin(path: str | None, text: str) -> str | None:
+    """``library``: path, or path and header, say that the file is a third party's; ``hint``: one of them may say so."""
+    folder = _DEPENDENCY.search(path or "")
+    head = text[:HEAD] if _OPENING.match(text) else ""
+    header = bool(_LICENCE.search(head) and _HOLDER.search(head))
+    if folder and (folder["sure"] is not None or header and folder["name"].lower() in head.lower()):
+        return "library"
+    return "hint" if folder or header else None
+
+
+SIGNALS = "origin string, n_tokens int, reuse double, rule_share double, line_tokens double, blob double"
 
 
 def _measure(texts: list[str | None], memory: _Tokens) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], tuple]:
@@ -245,12 +261,13 @@ def file_signals(files: DataFrame, *, key: str, path: str, owner: str, text: str
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
                 part = whole.slice(at, batch)
-                _, _, signals, (symbols, length, of) = _measure(part.column(3).to_pylist(), memory)
+                texts = part.column(3).to_pylist()
+                _, _, signals, (symbols, length, of) = _measure(texts, memory)
                 # a rule counts once a file, with all it covers there
                 ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=part.num_rows))])
                 rules = pa.StructArray.from_arrays([pa.array(symbols.view(np.int64)), pa.array(length.astype(np.int32))], names=["rule", "length"])
-                columns = [pa.array(signals[0].astype(np.int32)), *[pa.array(np.asarray(s, dtype=np.float64)) for s in signals[1:]]]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), rules)], schema=pa.schema([*[whole.schema.field(c) for c in range(3)], *[pa.field(n, t) for n, t in (("n_tokens", pa.int32()), ("reuse", pa.float64()), ("rule_share", pa.float64()), ("line_tokens", pa.float64()), ("blob", pa.float64()))], pa.field("rules", pa.list_(pa.struct([("rule", pa.int64()), ("length", pa.int32())])))]))
+                columns = [pa.array([origin(p, t) for p, t in zip(part.column(1).to_pylist(), texts)], pa.string()), pa.array(signals[0].astype(np.int32)), *[pa.array(np.asarray(s, dtype=np.float64)) for s in signals[1:]]]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), rules)], schema=pa.schema([*[whole.schema.field(c) for c in range(3)], *[pa.field(n, t) for n, t in (("origin", pa.string()), ("n_tokens", pa.int32()), ("reuse", pa.float64()), ("rule_share", pa.float64()), ("line_tokens", pa.float64()), ("blob", pa.float64()))], pa.field("rules", pa.list_(pa.struct([("rule", pa.int64()), ("length", pa.int32())])))]))
 
     return files.select(key, path, owner, text).filter(F.col(text) != "").mapInArrow(run, schema)
 
@@ -259,7 +276,8 @@ def not_handwritten(files: DataFrame, *, key: str, path: str, owner: str, text:
     """``key, reason`` and the signals of each file that was not written by hand.
 
     ``reason`` is ``vendored`` (at least ``min_shared`` of its tokens under rules
-    that ``min_owners`` owners or more share), ``minified``, ``blob`` or
+    that ``min_owners`` owners or more share, or two or more if its path or header
+    hints at a library; or these say so by themselves), ``minified``, ``blob`` or
     ``generated``, the first that holds.  Null and empty texts are no cases, nor
     are prose and settings files, whose repeats say nothing.  A null owner is one
     owner, a null path one without a suffix.  Repeated files give repeated rows.
@@ -268,11 +286,14 @@ def not_handwritten(files: DataFrame, *, key: str, path: str, owner: str, text:
     code = measured.filter(~F.coalesce(F.col(path), F.lit("")).rlike(_PROSE))
     rows = code.select(key, F.coalesce(F.xxhash64(owner), F.lit(0)).alias("owner"), F.inline("rules"))
     # per rule and owner first, so that a rule found everywhere is a few rows before it meets its files
-    widely = rows.select("rule", "owner").distinct().groupBy("rule").agg(F.count(F.lit(1)).alias("owners")).filter(F.col("owners") >= min_owners).select("rule")
-    shared = rows.groupBy(key, "rule").agg(F.sum("length").alias("length")).join(widely, "rule", "left_semi").groupBy(key).agg(F.sum("length").alias("shared"))
-    judged = code.drop("rules").join(shared, key, "left").withColumn("shared", F.coalesce(F.col("shared"), F.lit(0)) / F.greatest(F.col("n_tokens"), F.lit(1)))
+    several = rows.select("rule", "owner").distinct().groupBy("rule").agg(F.count(F.lit(1)).alias("owners")).filter(F.col("owners") >= min(2, min_owners))
+    lengths = rows.groupBy(key, "rule").agg(F.sum("length").alias("length")).join(several, "rule")
+    shared = lengths.groupBy(key).agg(F.sum(F.when(F.col("owners") >= min_owners, F.col("length"))).alias("shared"), F.sum("length").alias("shared_few"))
+    tokens = F.greatest(F.col("n_tokens"), F.lit(1))
+    judged = code.drop("rules").join(shared, key, "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) / tokens for c in ("shared", "shared_few")})
+    copied = {c: (F.col(c) >= min_shared) & (F.col(c) * F.col("n_tokens") >= LEAST_SHARED) for c in ("shared", "shared_few")}
     reason = (
-        F.when((F.col("shared") >= min_shared) & (F.col("shared") * F.col("n_tokens") >= LEAST_SHARED), "vendored")
+        F.when(copied["shared"] | F.col("origin").eqNullSafe("library") | F.col("origin").eqNullSafe("hint") & copied["shared_few"], "vendored")
         .when((F.col("line_tokens") >= 60) & (F.col("n_tokens") >= 150), "minified")
         .when(F.col("blob") >= 0.5, "blob")
         .when((F.col("reuse") >= 4.5) | (F.col("reuse") >= 2.4) & (F.col("rule_share") >= 0.65), "generated")

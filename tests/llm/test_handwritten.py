@@ -146,3 +146,20 @@ def test_data_is_data_at_any_length(spark):
     rows = [(1, "a.py", "r1", f'DATA = "{rng.randbytes(20_000).hex()}"\n'), (2, "a.c", "r1", 'char *a = "' + "".join(f"\\x{b:02x}" for b in rng.randbytes(999)) + '";\n')]
     got = H.not_handwritten(spark.createDataFrame(rows, "id bigint, path string, owner string, text string"), key="id", path="path", owner="owner", text="text")
     assert {r["id"]: r["reason"] for r in got.collect()} == {1: "blob", 2: "blob"}
+
+
+def test_libraries_of_few_owners(spark):
+    rng = random.Random(7)
+    pair, headed, plain, lone, api = (hand(rng, 30) for _ in range(5))
+    header = "# oakum v1.2.3\n# (c) The oakum contributors\n#   Released under the permissive licence found beside the upstream sources.\n"
+    rows = [
+        (1, "app/vendor/oakum/a.py", "r1", pair), (2, "lib/b.py", "r2", pair),  # shared by two, one of them in a folder
+        (3, "lib/c.py", "r1", header + headed), (4, "lib/d.py", "r2", header + headed),  # shared by two, with a header
+        (5, "src/external/oakum/e.py", "r3", header + lone),  # once; the header names the folder
+        (6, "node_modules/oakum/f.py", "r3", hand(rng, 30)), (7, "vendor/oakum/f.py", None, hand(rng, 30)),  # once, where nothing else stands
+        (8, "lib/g.py", "r1", plain), (9, "lib/g.py", "r2", plain),  # copies without a hint
+        (10, "vendors_api/part/h.py", "r1", api), (11, "vendors_api/part/h.py", "r2", api), (12, "src/external/h.py", "r1", hand(rng, 30)), (13, "app/vendor/part/i.py", "r1", hand(rng, 30)),
+        (14, "lib/j.py", "r1", header + hand(rng, 30)), (15, None, "r1", hand(rng, 30)), (16, "lib/k.py", "r1", "LICENCE = 'copyright'\n" + plain),
+    ]
+    got = H.not_handwritten(spark.createDataFrame(rows, "id bigint, path string, owner string, text string"), key="id", path="path", owner="owner", text="text")
+    assert {r["id"]: r["reason"] for r in got.collect()} == dict.fromkeys((1, 3, 4, 5, 6, 7), "vendored")

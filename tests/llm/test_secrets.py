@@ -59,8 +59,6 @@ def test_blocks_lines_and_copies(spark):
     df = spark.createDataFrame([(*t, "x", 1) for t in texts], "src string, rec_id string, owner string, text string, value string, line_no int")
     got = S.find_credentials(df)
     assert sorted((r["src"], r["rec_id"], r["line_no"]) for r in got.collect()) == [("d", "1", 2), ("d", "2", 2), ("d", "3", 1), ("f", "2", 1)]
-    # in blocks of one secret each, the same
-    assert rows(S.find_credentials(df, block=1)) == rows(got)
     masked = {r["rec_id"]: r["text"] for r in S.redact(df.filter("src = 'd'"), got.filter("src = 'd'")).collect()}
     assert masked["2"] == 'x\npassword = "************"\n' and masked["3"].startswith("the old one was ************, as told\nand notHx")
     assert len(masked["1"]) == len(texts[0][3]) and masked["1"].count("\n") == texts[0][3].count("\n")
@@ -79,7 +77,8 @@ def test_rescan_equals_brute_force(spark):
     words = ["".join(rng.choices(string.ascii_letters + string.digits, k=rng.randint(8, 14))) for _ in range(30)]
     texts = [" ".join(rng.choice(words + ["x", "y\n"]) + rng.choice(["", "", "z", "-"]) for _ in range(40)) for _ in range(30)]
     df = spark.createDataFrame([("d", str(i), "o", t) for i, t in enumerate(texts)], "src string, rec_id string, owner string, text string")
-    got = {(r["rec_id"], r["first"], r["last"]) for r in S.rescan(df, spark.createDataFrame([(w,) for w in words], "value string"), block=7).collect()}
+    got = {(r["rec_id"], r["first"], r["last"]) for r in S.rescan(df, spark.createDataFrame([(w,) for w in words], "value string")).collect()}
+    full = {(r["rec_id"], r["first"], r["last"]) for r in S.rescan(df, spark.createDataFrame([(w,) for w in words], "value string"), max_bits=32).collect()}
     want = set()
     for i, t in enumerate(texts):
         for w in words:
@@ -89,7 +88,7 @@ def test_rescan_equals_brute_force(spark):
                 if (at == 0 or not t[at - 1].isalnum()) and (end == len(t) or not t[end].isalnum()):
                     want.add((str(i), at, end))
                 at = t.find(w, at + 1)
-    assert got == want
+    assert got == want and full == want  # a field whose bits are all set lets everything through, and changes nothing
 
 
 def test_structured_values_of_many_owners_stay(spark):
@@ -107,3 +106,33 @@ def test_rare_grows_with_the_owners(spark):
     df = spark.createDataFrame(rows, "src string, rec_id string, owner string, text string")
     lines = [r["line_no"] for r in S.find_credentials(df).collect()]
     assert (lines.count(1), lines.count(2), lines.count(3)) == (60, 10, 0)
+
+
+def test_every_literal_of_the_corpus_counts_its_owners(spark):
+    # the value stands as a password once, but as an ordinary literal in many repositories
+    rows = [("d", "p", "o0", 'password = "Wide72kqPz8x"\n')] + [("d", str(i), f"o{i}", 'label("Wide72kqPz8x")\n') for i in range(1, 20)]
+    df = spark.createDataFrame(rows, "src string, rec_id string, owner string, text string")
+    assert S.find_credentials(df).count() == 0
+
+
+def test_several_sets_of_secrets_in_one_worker(spark):
+    text = spark.createDataFrame([("d", str(i), "o", f"a Val{i}ue9x and Other{i}9x") for i in range(40)], "src string, rec_id string, owner string, text string")
+    for word in ("Val{}ue9x", "Other{}9x"):
+        made = spark.createDataFrame([(word.format(i),) for i in range(40)], "value string")
+        assert S.rescan(text, made).count() == 40
+
+
+@pytest.mark.parametrize("value", ["Пароль-Секрет", "日本語のパスワード列", "ab", "x" * 5000 + "1Y", "a-b-c-d", "--Zz9--"])
+def test_odd_values_are_found_again(spark, value):
+    text = spark.createDataFrame([("d", "1", "o", f"« {value} »\n({value})"), ("d", "2", "o", None), ("d", "3", "o", "")], "src string, rec_id string, owner string, text string")
+    want = [(2, 2 + len(value)), (6 + len(value) - 0, 6 + 2 * len(value))]
+    got = sorted((r["first"], r["last"]) for r in S.rescan(text, spark.createDataFrame([(value,)], "value string")).collect())
+    assert [text.first()["text"][a:b] for a, b in got] == [value] * 2 and got[0] == want[0]
+
+
+def test_long_values_and_keys_without_an_end(spark):
+    long = "".join(random.Random(3).choices(string.ascii_letters + string.digits, k=6000))
+    body = "\n".join("".join(random.Random(i).choices(string.ascii_letters + string.digits, k=64)) for i in range(20))
+    rows = [("d", "1", "o1", f'api_key = "{long}"'), ("d", "2", "o2", f"see {long} there"), ("d", "3", "o3", f"-----BEGIN RSA PRIVATE KEY-----\n{body}"), ("d", "4", "o4", "-----BEGIN RSA PRIVATE KEY----- is how a key starts (see the manual)")]
+    got = S.find_credentials(spark.createDataFrame(rows, "src string, rec_id string, owner string, text string"))
+    assert sorted(r["rec_id"] for r in got.collect()) == ["1", "2", "3", "4"][:3]

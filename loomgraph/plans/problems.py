@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import clean_hash, clean_path, name_key
 from loomgraph.operators.hierarchy import hierarchy
-from loomgraph.operators.incremental import changed_keys, versions_by_cutoff
+from loomgraph.operators.incremental import VersionedTable, take_up, versions_by_cutoff
 from loomgraph.operators.references import orphan_references, orphan_report
 from loomgraph.operators.snapshot_diff import snapshot_diff
 from loomgraph.session import scratch_path, stage, table
@@ -90,18 +90,19 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that each successful scan run must take up."""
+    """Files that each successful scan run must take up: one incremental run per done cutoff, each over its own delta."""
     runs = table(spark, sf_dir, "scan_runs").filter("status = 'done' and cutoff_at is not null").groupBy("cutoff_at").agg(F.min("run_id").alias("run_id")).orderBy("cutoff_at").collect()  # a run log: a row per run
     rows = table(spark, sf_dir, "file_status").select("repo", "path", "arrived_at", "last_scanned", "status_id", F.when(F.col("hash") != "", F.col("hash")).alias("hash"))
     if not runs:
         return spark.createDataFrame([], "run_id bigint, repo string, path string")
     log = versions_by_cutoff(spark, scratch_path(spark, "file-status"), rows, "arrived_at", [r["cutoff_at"] for r in runs])
-    delta = log.changes(-1)
-    if delta is None:
+    taken = VersionedTable(spark, scratch_path(spark, "taken-up"))
+    for version in range(len(runs)):
+        take_up(log, taken, key=["repo", "path"], state="hash", order=["last_scanned", "status_id"], upto=version)
+    if not taken.manifest(taken.latest())["files"]:
         return spark.createDataFrame([], "run_id bigint, repo string, path string")
-    found = changed_keys(delta.filter("_op = 'add'"), key=["repo", "path"], state="hash", order=["last_scanned", "status_id"])
     run_of = F.element_at(F.array(*[F.lit(r["run_id"]).cast("bigint") for r in runs]), F.col("_version") + 1)
-    return found.select(run_of.alias("run_id"), "repo", "path")
+    return taken.read().filter("changed").select(run_of.alias("run_id"), "repo", "path")
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p7_found": p7_found}

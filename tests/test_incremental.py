@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators.incremental import ConflictError, VersionedTable, changed_keys, process_new, versions_by_cutoff
+from loomgraph.operators.incremental import ConflictError, VersionedTable, changed_keys, process_new, take_up, versions_by_cutoff
 
 
 def rows(df):
@@ -38,9 +38,9 @@ def test_one_writer_wins(spark, tmp_path):
 def test_failed_run_is_repeated_and_nothing_twice(spark, tmp_path):
     src, out = VersionedTable(spark, str(tmp_path / "s")), VersionedTable(spark, str(tmp_path / "o"))
     src.append(spark.createDataFrame([(1,), (2,)], "k int"))
-    take = lambda d: d.filter("_op = 'add'").select("k")
+    take = lambda d, held: d.filter("_op = 'add'").select("k")
 
-    def fail(delta):
+    def fail(delta, held):
         out.write_files(delta.select("k"))  # files of a run that dies before its commit
         raise RuntimeError("worker lost")
 
@@ -76,8 +76,54 @@ def test_states_as_of_versions(spark, tmp_path):
     cutoffs = [t0 + timedelta(hours=h) for h in (5, 10, 10, 20, 40)][:2] + [t0 + timedelta(hours=h) for h in (20, 40)]
     df = spark.createDataFrame(data, "repo string, path string, arrived timestamp, seen timestamp, n int, hash string")
     log = versions_by_cutoff(spark, str(tmp_path / "l"), df, "arrived", cutoffs)
-    got = changed_keys(log.changes(-1).filter("_op = 'add'"), key=["repo", "path"], state="hash", order=["seen", "n"])
-    assert sorted(map(tuple, got.select("_version", "repo", "path").collect()), key=str) == brute(data, cutoffs)
+    how = {"key": ["repo", "path"], "state": "hash", "order": ["seen", "n"]}
+    got = changed_keys(log.changes(-1).filter("_op = 'add'"), **how)
+    pick = lambda d: sorted(map(tuple, d.filter("changed").select("_version", "repo", "path").collect()), key=str)
+    assert pick(got) == brute(data, cutoffs)
+    # run by run, or two versions at a time, the same; a run that dies between two others leaves no trace
+    for step in (1, 2):
+        out, dead = VersionedTable(spark, str(tmp_path / f"o{step}")), []
+        for upto in range(step - 1, len(cutoffs), step):
+            if not dead:
+                dead.append(out.write_files(changed_keys(log.changes(-1, upto).filter("_op = 'add'"), **how)))  # written, never committed
+            take_up(log, out, upto=upto, **how)
+        assert pick(out.read()) == brute(data, cutoffs)
+        assert take_up(log, out, **how) is None and out.manifest(out.latest())["meta"] == {"processed": len(cutoffs) - 1}
+
+
+def test_a_run_reads_its_own_delta_only(spark, tmp_path):
+    t0 = datetime(2030, 1, 1)
+    df = spark.createDataFrame([("r", f"p{i}", t0 + timedelta(hours=i), "h") for i in range(6)], "repo string, path string, arrived timestamp, hash string")
+    log = versions_by_cutoff(spark, str(tmp_path / "l"), df, "arrived", [t0 + timedelta(hours=h) for h in range(6)])
+    seen = []
+
+    def transform(delta, held):
+        seen.append((delta.count(), set(delta.inputFiles()), held.count() if held is not None else 0))
+        return delta.select("path", "_version")
+
+    out = VersionedTable(spark, str(tmp_path / "o"))
+    for v in range(6):
+        process_new(log, out, transform, upto=v)
+    assert [n for n, _, _ in seen] == [1] * 6 and [n for _, _, n in seen] == list(range(6))
+    assert sum(len(f) for _, f, _ in seen) == len(set().union(*(f for _, f, _ in seen)))
+
+
+def test_log_entries_list_changes_and_now_and_then_all_files(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    for i in range(23):
+        t.append(spark.createDataFrame([(i,)], "k int"))
+    t.delete_where("k = 3")
+    again = VersionedTable(spark, str(tmp_path / "t"))
+    assert rows(again.read()) == [(i,) for i in range(23) if i != 3] and rows(again.read(11)) == [(i,) for i in range(12)]
+    assert "files" in again._entry(20) and "files" not in again._entry(21) and len(again._entry(21)["put"]) == len(t.manifest(21)["files"]) - len(t.manifest(20)["files"])
+
+
+def test_large_versions_are_written_by_several_tasks(spark, tmp_path):
+    df = spark.range(1000).repartition(1).selectExpr("cast(id as string) AS repo", "timestamp'2030-01-01' AS arrived", "'h' AS hash")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be put together
+    files = [len(versions_by_cutoff(spark, str(tmp_path / f"t{n}"), df, "arrived", [datetime(2030, 1, 2)], rows_per_file=n).manifest(0)["files"]) for n in (10, 10_000)]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files[0] > files[1] == 1
 
 
 def test_empty_and_clashing_columns(spark, tmp_path):
@@ -87,4 +133,4 @@ def test_empty_and_clashing_columns(spark, tmp_path):
     one = spark.createDataFrame([("r", "p", datetime(2029, 1, 1), "h", "b", 1, 2)], df.schema)
     log = versions_by_cutoff(spark, str(tmp_path / "m"), one, "arrived", [datetime(2030, 1, 1)])
     got = changed_keys(log.changes(-1), key=["repo", "path"], state="hash", order=["arrived"])
-    assert rows(got) == [(0, "r", "p", "h")]
+    assert rows(got.select("_version", "repo", "path", "hash", "changed")) == [(0, "r", "p", "h", True)]

@@ -4,14 +4,18 @@ Subtree sizes are computed upward, sibling preorder ranges are allocated by
 prefix sums downward, and each node ends with a nested-set range
 ``[pre, pre + size)``: ``a`` is an ancestor of ``d`` exactly when they have the
 same root and ``pre_a < pre_d < pre_a + size_a``.  Both directions run by
-pointer doubling, so a tree of depth d takes about log2(d) rounds rather than d:
-after round k a node knows its 2^k-th ancestor, the path to it, and the number
-of descendants less than 2^k levels below.  Nodes whose pointer never runs out
-have no root; the images of all those pointers shrink to the cycles themselves.
+pointer doubling, so a tree of depth d takes about log2(d) rounds rather than d.
+Upward, nodes are numbers: after round k a node knows its 2^k-th ancestor and
+the number of descendants less than 2^k levels below.  Nodes whose pointer never
+runs out have no root and go no further; the images of all those pointers shrink
+to the cycles themselves.  Only nodes of trees take part downward, where ranges,
+paths and depths are summed along the ancestors.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,19 +24,37 @@ from loomgraph.session import stage
 SIBLING_SALTS = 64
 
 
-def _sibling_offsets(nodes: DataFrame, g: list[str]) -> DataFrame:
-    """``off`` = 1 + sizes of the siblings before a node.
+def _sibling_offsets(nodes: DataFrame) -> DataFrame:
+    """``n, off``: 1 + sizes of the siblings before each node (``n, jump, size``) that has a parent.
 
-    Siblings are ordered by (salt, id) and summed in two steps, within a salt
+    Siblings are ordered by (salt, number) and summed in two steps, within a salt
     and over the at most SIBLING_SALTS salts of a parent, so a parent that holds
     a third of all rows is not one task.
     """
-    kids = nodes.filter("parent is not null").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SIBLING_SALTS)))
-    salts = kids.groupBy(*g, "parent", "salt").agg(F.sum("size").alias("total"))
-    before = Window.partitionBy(*g, "parent").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = salts.select(*g, "parent", "salt", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    inner = Window.partitionBy(*g, "parent", "salt").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    return kids.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(base, [*g, "parent", "salt"]).select(*g, "id", (F.lit(1) + F.col("base") + F.col("within")).alias("off"))
+    kids = nodes.filter("jump is not null").select("n", "jump", "size", F.pmod(F.xxhash64("n"), F.lit(SIBLING_SALTS)).alias("salt"))
+    salts = kids.groupBy("jump", "salt").agg(F.sum("size").alias("total"))
+    before = Window.partitionBy("jump").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = salts.select("jump", "salt", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    inner = Window.partitionBy("jump", "salt").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    return kids.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(base, ["jump", "salt"]).select("n", (F.lit(1) + F.col("base") + F.col("within")).alias("off"))
+
+
+def _sizes(state: DataFrame, max_rounds: int) -> DataFrame:
+    """``n, jump, low`` at the end of the upward rounds: ``jump`` is null and ``low`` the subtree size in trees, else ``jump`` lies on a cycle."""
+    turning = None
+    for k in range(max_rounds):
+        below = state.filter("jump is not null").groupBy(F.col("jump").alias("n")).agg(F.sum("low").alias("more"))
+        above = state.select(F.col("n").alias("jump"), F.col("jump").alias("jump2"))
+        met = state.join(below, "n", "left").select("n", "jump", (F.col("low") + F.coalesce("more", F.lit(0))).alias("low"))
+        state = stage(met.join(above, "jump", "left").select("n", F.col("jump2").alias("jump"), "low"), f"hierarchy-up{k}")
+        left = state.filter("jump is not null").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("jump").alias("images")).first()
+        # Done when every pointer left lies on a cycle for good: pointers of
+        # equal images twice in a row map the image onto itself; tree nodes
+        # still under way would shrink n.
+        if left["n"] == 0 or turning == left:
+            return state
+        turning = left
+    raise ValueError(f"not settled after {max_rounds} rounds")
 
 
 def hierarchy(links: DataFrame, *, group: list[str], separator: str = "/", max_rounds: int = 40) -> DataFrame:
@@ -42,76 +64,52 @@ def hierarchy(links: DataFrame, *, group: list[str], separator: str = "/", max_r
     its parent, null for none.  A node may come in several rows: of several
     parents the least id counts.  A parent that is no ``id`` of its group is
     taken as a node without a parent.  Null ids are no nodes; a node that is its
-    own parent is a cycle.  An empty table gives an empty result.
+    own parent is a cycle; a null group is a group.  An empty table gives an
+    empty result.
 
     Result, one row per node: ``group..., id, parent, state`` (``tree``,
     ``cycle``, ``below_cycle``), ``root, depth, n_desc, path, pre, size``.
     Without a root: root and path are '', depth, n_desc, pre and size are -1.
     """
     g = list(group)
-    both = links.select(*g, "id", "parent").filter("id is not null")
-    up = links.filter("id is not null and parent is not null").select(*g, F.col("parent").alias("id"), F.lit(None).cast(dict(links.dtypes)["parent"]).alias("parent"))
-    nodes = stage(both.union(up).groupBy(*g, "id").agg(F.min("parent").alias("parent")), "hierarchy-nodes")
-    path = F.col("id").cast("string")
-
-    # jump: 2^k-th ancestor; path: ids below it, down to the node; low: descendants (and itself) less than 2^k levels below
-    state = nodes.select(*g, "id", F.col("parent").alias("jump"), F.col("id").alias("top"), F.lit(0).alias("depth"), path.alias("path"), F.lit(1).cast("bigint").alias("low"))
-    turning = None
-    for k in range(max_rounds):
-        above = state.select(*g, F.col("id").alias("jump"), F.col("jump").alias("jump2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"))
-        below = state.filter("jump is not null").groupBy(*g, F.col("jump").alias("id")).agg(F.sum("low").alias("more"))
-        joined = state.join(above, [*g, "jump"], "left").join(below, [*g, "id"], "left")
+    # a row names its node, and its parent as a node
+    ends = F.array(F.struct(F.col("id").alias("id"), F.col("parent").alias("parent")), F.struct(F.col("parent").alias("id"), F.lit(None).cast(dict(links.dtypes)["parent"]).alias("parent")))
+    named = links.filter("id is not null").select(*g, F.inline(ends)).filter("id is not null").groupBy(*g, "id").agg(F.min("parent").alias("parent"))
+    nodes = stage(named.withColumn("n", F.monotonically_increasing_id()), "hierarchy-nodes")
+    parents = nodes.select(*[F.col(c).alias(f"_g_{c}") for c in g], F.col("id").alias("_id"), F.col("n").alias("jump"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in g], F.col("parent") == F.col("_id"))
+    links_up = stage(nodes.join(parents, same, "left").select("n", "jump"), "hierarchy-links")
+    sized = _sizes(links_up.withColumn("low", F.lit(1).cast("bigint")), max_rounds)
+
+    tree = stage(sized.filter("jump is null").select("n", F.col("low").alias("size")).join(links_up, "n").join(nodes.select("n", F.col("id").cast("string").alias("path"), F.col("id").alias("top")), "n"), "hierarchy-tree")
+    # jump: 2^k-th ancestor; pre, path, depth: offsets, ids and levels from below it down to the node; top: the last ancestor known
+    down = tree.join(_sibling_offsets(tree), "n", "left").select("n", "jump", "size", "top", F.lit(0).alias("depth"), "path", F.coalesce("off", F.lit(0)).alias("pre"))
+    down = stage(down, "hierarchy-offsets")
+    k = 0
+    while not down.filter("jump is not null").isEmpty():
+        above = down.select(F.col("n").alias("jump"), F.col("jump").alias("jump2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"), F.col("pre").alias("pre2"))
         went = F.col("jump").isNotNull()
-        state = stage(
-            joined.select(
-                *g,
-                "id",
-                F.col("jump2").alias("jump"),
-                F.when(went, F.col("top2")).otherwise(F.col("top")).alias("top"),
-                # a step over jump adds the levels up to it and those above it
-                F.when(went, F.col("depth") + F.col("depth2") + 1).otherwise(F.col("depth")).alias("depth"),
-                F.when(went, F.concat(F.col("path2"), F.lit(separator), F.col("path"))).otherwise(F.col("path")).alias("path"),
-                (F.col("low") + F.coalesce(F.col("more"), F.lit(0))).alias("low"),
-            ),
-            f"hierarchy-up{k}",
+        step = down.join(above, "jump", "left").select(
+            "n",
+            F.col("jump2").alias("jump"),
+            "size",
+            F.when(went, F.col("top2")).otherwise(F.col("top")).alias("top"),
+            # a step over jump adds the levels up to it and those above it
+            F.when(went, F.col("depth") + F.col("depth2") + 1).otherwise(F.col("depth")).alias("depth"),
+            F.when(went, F.concat(F.col("path2"), F.lit(separator), F.col("path"))).otherwise(F.col("path")).alias("path"),
+            (F.col("pre") + F.coalesce("pre2", F.lit(0))).alias("pre"),
         )
-        left = state.filter("jump is not null")
-        now = left.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*g, "jump").alias("images")).first()
-        if now["n"] == 0:
-            break
-        # Done when every pointer left lies on a cycle for good: pointers of
-        # equal images twice in a row map the image onto itself; tree nodes
-        # still under way would shrink n.
-        if turning == (now["n"], now["images"]):
-            break
-        turning = (now["n"], now["images"])
-    else:
-        raise ValueError(f"not settled after {max_rounds} rounds")
-    state = state.withColumnRenamed("jump", "rootless")
-
-    cyclic = state.filter("rootless is not null").select(*g, F.col("rootless").alias("id")).distinct().withColumn("on_cycle", F.lit(True))
-    tree = state.filter("rootless is null").join(nodes, [*g, "id"]).select(*g, "id", "parent", "top", "depth", "path", F.col("low").alias("size"))
-    tree = stage(tree, "hierarchy-sized")
-
-    # preorder numbers: offsets below the parent, summed along the ancestors
-    pre = tree.select(*g, "id", F.col("parent").alias("jump")).join(_sibling_offsets(tree, g), [*g, "id"], "left").select(*g, "id", "jump", F.coalesce(F.col("off"), F.lit(0)).alias("pre"))
-    deepest = tree.agg(F.max("depth")).first()[0] or 0
-    for k in range(deepest.bit_length()):
-        above = pre.select(*g, F.col("id").alias("jump"), F.col("jump").alias("jump2"), F.col("pre").alias("pre2"))
-        pre = stage(pre.join(above, [*g, "jump"], "left").select(*g, "id", F.col("jump2").alias("jump"), (F.col("pre") + F.coalesce(F.col("pre2"), F.lit(0))).alias("pre")), f"hierarchy-down{k}")
-
-    ranged = tree.join(pre.select(*g, "id", "pre"), [*g, "id"]).select(
-        *g, "id", "parent", F.lit("tree").alias("state"), F.col("top").alias("root"), "depth", (F.col("size") - 1).alias("n_desc"), "path", "pre", "size"
-    )
+        down = stage(step, f"hierarchy-down{k}")
+        k += 1
+
+    ranged = down.select("n", F.lit("tree").alias("state"), F.col("top").alias("root"), "depth", (F.col("size") - 1).alias("n_desc"), "path", "pre", "size")
     minus = F.lit(-1).cast("bigint")
-    loose = (
-        state.filter("rootless is not null")
-        .select(*g, "id")
-        .join(nodes, [*g, "id"])
-        .join(cyclic, [*g, "id"], "left")
-        .select(*g, "id", "parent", F.when(F.col("on_cycle"), "cycle").otherwise("below_cycle").alias("state"), F.lit("").alias("root"), F.lit(-1).alias("depth"), minus.alias("n_desc"), F.lit("").alias("path"), minus.alias("pre"), minus.alias("size"))
-    )
-    return ranged.unionByName(loose)
+    rootless = sized.filter("jump is not null")
+    cyclic = rootless.select(F.col("jump").alias("n")).distinct().withColumn("on_cycle", F.lit(True))
+    loose = rootless.select("n").join(cyclic, "n", "left").select(
+        "n", F.when(F.col("on_cycle"), "cycle").otherwise("below_cycle").alias("state"), F.lit("").cast(dict(links.dtypes)["id"]).alias("root"), F.lit(-1).alias("depth"), minus.alias("n_desc"), F.lit("").alias("path"), minus.alias("pre"), minus.alias("size")
+    )
+    return nodes.join(ranged.unionByName(loose), "n").select(*g, "id", "parent", "state", "root", "depth", "n_desc", "path", "pre", "size")
 
 
 def descendants(ranged: DataFrame, of: Column, *, group: list[str]) -> DataFrame:

@@ -61,7 +61,9 @@ def test_long_chain_wide_node_and_cycles(spark):
 def test_edges(spark):
     assert run(spark, [])[1] == {}
     links = [("g", None, "a"), ("g", "b", None), ("g", "b", None), (None, "z", None)]
-    assert {k for k in run(spark, links)[1]} == {("g", "b")} | {k for k in run(spark, links)[1] if k[0] is None}
+    assert {k for k in run(spark, links)[1]} == {("g", "b"), (None, "z")}
+    # a null group is a group like any other
+    assert run(spark, [(None, "k", "top"), ("g", "k", "other")])[1] == {(None, "k"): ("tree", "top", 1, 0, "top/k"), (None, "top"): ("tree", "top", 0, 1, "top"), ("g", "k"): ("tree", "other", 1, 0, "other/k"), ("g", "other"): ("tree", "other", 0, 1, "other")}
     extra = [("g", "a", "b", 1, "x", 2, "y")]
     got = run(spark, extra, "g string, id string, parent string, depth int, path string, size int, state string")[1]
     assert got["g", "a"] == ("tree", "b", 1, 0, "b/a")

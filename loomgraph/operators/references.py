@@ -20,7 +20,7 @@ def orphan_references(
     match: str = "simple",
     deleted: str | None = None,
     created: str | None = None,
-    hot_salts: int = 1,
+    hot_from: int = 1_000_000,
 ) -> DataFrame:
     """Rows of ``refs`` whose target is ``missing``, ``deleted`` or ``late``, with the column ``reason``.
 
@@ -41,8 +41,10 @@ def orphan_references(
     extra columns of ``refs`` are kept, those of ``targets`` cannot clash.
     Empty ``targets`` make every reference ``missing``.
 
-    ``hot_salts`` > 1 splits references to one hot key over as many tasks; the
-    deduplicated targets are repeated instead.
+    Keys with ``hot_from`` references or more are split over one task for each
+    ``hot_from`` of them, and their deduplicated target is repeated as often;
+    all other keys stay whole.  There are at most references / ``hot_from`` of
+    them, which bounds the broadcast that marks them.
     """
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
@@ -57,12 +59,11 @@ def orphan_references(
         return base.dropna(subset=mask_keys).groupBy(*mask_keys).agg(F.min("_gone").alias("_gone"), F.min(F.when(~F.col("_gone"), F.col("_created"))).alias("_created"))
 
     def judge(part: DataFrame, mask_keys: list[str]) -> DataFrame:
-        existing, salted = by(mask_keys), list(mask_keys)
-        if hot_salts > 1:
-            part = part.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(hot_salts)).cast("int"))
-            existing = existing.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(hot_salts - 1))))
-            salted.append("_salt")
-        joined = part.join(existing.withColumn("_hit", F.lit(True)), salted, "left")
+        hot = part.groupBy(*mask_keys).agg(F.floor(F.count(F.lit(1)) / F.lit(hot_from)).cast("int").alias("_salts")).filter("_salts > 0").withColumn("_salts", F.col("_salts") + 1)
+        salts = F.coalesce("_salts", F.lit(1))
+        part = part.join(F.broadcast(hot), mask_keys, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int")).drop("_salts")
+        existing = by(mask_keys).join(F.broadcast(hot), mask_keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+        joined = part.join(existing.withColumn("_hit", F.lit(True)), [*mask_keys, "_salt"], "left")
         late = (F.col("_created") > F.col(at)) if at and created else F.lit(False)
         reason = F.when(F.col("_hit").isNull(), "missing").when(F.col("_gone"), "deleted").when(late, "late")
         return joined.withColumn("reason", reason).filter("reason is not null").select(*refs.columns, "reason")

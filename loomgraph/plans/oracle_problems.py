@@ -78,6 +78,21 @@ P3_REPORT = _P3 + """
 SELECT src_table, period, count(*) AS n_refs, count(reason) AS n_orphans, count(reason) / count(*) AS rate FROM bad GROUP BY src_table, period
 """
 
+P3_PARTIAL = """
+WITH ent AS (
+  SELECT id, repo, status, created FROM entities WHERE id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC, repo DESC, status DESC, created DESC) = 1
+), ref AS (SELECT module_entity_id AS ref_key, repo, unnest(class_entity_ids) AS target, ingested_at AS seen_at FROM ingest_results),
+one AS (SELECT repo, id, status = 'deleted' AS gone, created FROM ent),
+anyone AS (SELECT repo, bool_and(status = 'deleted') AS gone, min(created) FILTER (status <> 'deleted') AS created FROM ent WHERE repo IS NOT NULL GROUP BY repo),
+judged AS (
+  SELECT r.*, o.id IS NULL AS absent, o.gone, o.created FROM ref r LEFT JOIN one o ON o.repo = r.repo AND o.id = r.target WHERE r.repo IS NOT NULL AND r.target IS NOT NULL
+  UNION ALL SELECT r.*, s.repo IS NULL, s.gone, s.created FROM ref r LEFT JOIN anyone s ON s.repo = r.repo WHERE r.repo IS NOT NULL AND r.target IS NULL
+  UNION ALL SELECT r.*, o.id IS NULL, o.gone, o.created FROM ref r LEFT JOIN one o ON o.id = r.target WHERE r.repo IS NULL AND r.target IS NOT NULL
+)
+SELECT DISTINCT ref_key, repo, target, CASE WHEN absent THEN 'missing' WHEN gone THEN 'deleted' ELSE 'late' END AS reason FROM judged WHERE absent OR gone OR created > seen_at
+"""
+
 P7 = """
 WITH run AS (
   SELECT min(run_id) AS run_id, cutoff_at FROM scan_runs WHERE status = 'done' AND cutoff_at IS NOT NULL GROUP BY cutoff_at
@@ -88,4 +103,4 @@ WITH run AS (
 SELECT run_id, repo, path FROM d WHERE before IS DISTINCT FROM h
 """
 
-ORACLES = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_report": P3_REPORT, "p7_found": P7}
+ORACLES = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_report": P3_REPORT, "p3_partial": P3_PARTIAL, "p7_found": P7}

@@ -72,8 +72,8 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_name, by_id = _references(spark, sf_dir)
     entities = stage(_current(table(spark, sf_dir, "entities"), "id", "version", ["repo", "name_key", "status", "created"]), "entities")
     kinds = {"deleted": "status = 'deleted'", "created": "created", "at": "at", "match": "simple"}
-    return orphan_references(by_name, entities, on={"repo": "repo", "target": "name_key"}, hot_salts=8, **kinds).unionByName(
-        orphan_references(by_id, entities, on={"target": "id"}, hot_salts=8, **kinds)
+    return orphan_references(by_name, entities, on={"repo": "repo", "target": "name_key"}, **kinds).unionByName(
+        orphan_references(by_id, entities, on={"target": "id"}, **kinds)
     ).withColumn("period", F.date_format("at", "yyyy-MM"))
 
 
@@ -89,6 +89,14 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(_orphans(spark, sf_dir), refs, by=["src_table", "period"])
 
 
+def p3_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members that containers list, by repository and id: where the id is null, the repository alone must have an entity."""
+    rows = table(spark, sf_dir, "ingest_results").select(F.col("module_entity_id").alias("ref_key"), "repo", F.explode("class_entity_ids").alias("target"), F.col("ingested_at").alias("at"))
+    entities = stage(_current(table(spark, sf_dir, "entities"), "id", "version", ["repo", "status", "created"]), "entities")
+    found = orphan_references(rows, entities, on={"repo": "repo", "target": "id"}, at="at", match="partial", deleted="status = 'deleted'", created="created")
+    return found.select("ref_key", "repo", "target", "reason").distinct()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that each successful scan run must take up: one incremental run per done cutoff, each over its own delta."""
     runs = table(spark, sf_dir, "scan_runs").filter("status = 'done' and cutoff_at is not null").groupBy("cutoff_at").agg(F.min("run_id").alias("run_id")).orderBy("cutoff_at").collect()  # a run log: a row per run
@@ -105,4 +113,4 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.read().filter("changed").select(run_of.alias("run_id"), "repo", "path")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p3_partial": p3_partial, "p7_found": p7_found}

@@ -17,13 +17,13 @@ def run(spark, refs=REFS, targets=TARGETS, **more):
     return sorted((x["n"], x["reason"]) for x in got.collect())
 
 
-@pytest.mark.parametrize("salts", [1, 4])
-def test_match_semantics(spark, salts):
+@pytest.mark.parametrize("hot", [1_000_000, 2, 1])
+def test_match_semantics(spark, hot):
     whole = [(2, "missing"), (6, "late"), (6, "late"), (7, "deleted")]
-    assert run(spark, hot_salts=salts) == whole
-    assert run(spark, match="full", hot_salts=salts) == sorted(whole + [(3, "missing"), (4, "missing"), (9, "missing")])
+    assert run(spark, hot_from=hot) == whole
+    assert run(spark, match="full", hot_from=hot) == sorted(whole + [(3, "missing"), (4, "missing"), (9, "missing")])
     # partial: (a, null) and (null, x) are there; (b, null) came late
-    assert run(spark, match="partial", hot_salts=salts) == sorted(whole + [(9, "late")])
+    assert run(spark, match="partial", hot_from=hot) == sorted(whole + [(9, "late")])
 
 
 def test_edges(spark):

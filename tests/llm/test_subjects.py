@@ -52,3 +52,25 @@ def test_edges(spark):
     assert S.document_subjects(docs.limit(0), labelled, areas, key="id", text="text").count() == 0
     assert S.document_subjects(docs, labelled, areas.limit(0), key="id", text="text").count() == 0
     assert S.document_subjects(docs, labelled.limit(0), areas, key="id", text="text").count() >= 0
+
+
+def test_rounds_end_when_the_loss_settles_and_no_term_is_left_out(spark):
+    train, test = sample(80, 5), sample(200, 6)
+    docs, labelled, areas = tables(spark, train, [(i, f"{t} rare{chr(97 + i % 26)}{chr(97 + i // 26)}", s) for i, t, s in test])
+    vectors = S._vectors(docs, ["id"], "text")
+    seeds = [(r["text"], list(r["subjects"])) for r in labelled.collect()]
+    named = [(r["subject"], r["description"]) for r in areas.collect()]
+    model = S.fit(vectors, seeds, named)
+    assert len(model.losses) > 2 and model.losses[-1] < model.losses[0] and model.losses[-2] - model.losses[-1] < 0.001 * model.losses[-2]
+    # every term has a column, whatever its frequency, and the columns are as many for any corpus
+    assert S._document_frequency(vectors, 1 << 18).sum() == sum(len(S.term_counts(r["text"], S._Ids())[0]) for r in docs.collect())
+    small = S.fit(vectors, seeds, named, n_columns=4096)
+    assert small.h.shape == (4, 4096) and model.h.shape == (4, 1 << 18)
+
+
+def test_the_cut_is_fitted_on_texts_held_out(spark):
+    train = sample(120, 7)
+    docs, labelled, areas = tables(spark, train, sample(100, 8))
+    seeds = [(r["text"], list(r["subjects"])) for r in labelled.collect()]
+    model = S.fit(S._vectors(docs, ["id"], "text"), seeds, [(r["subject"], r["description"]) for r in areas.collect()])
+    assert 0.05 <= model.least_share <= 0.45 and model.least_share != S.Model.least_share

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import schema
+from loomgraph.functions.text import name_key
 from loomgraph.operators import build, graph, maintain, search, security
 from loomgraph.operators.extract import extract
 from loomgraph.session import stage
@@ -104,51 +105,97 @@ class Engine:
         return search.stats_by_type(self.entities).orderBy("type")
 
     def delta(self, project_root: str) -> DataFrame:
-        listed = source_files.prefilter(source_files.listing(self.spark, project_root))
-        texts = source_files.read_texts(self.spark, source_files.stat_changed(listed, self.store.load("manifest")), project_root)
+        listed = stage(source_files.prefilter(source_files.listing(self.spark, project_root)), "listing")
+        texts = source_files.read_texts(source_files.stat_changed(listed, self.store.load("manifest")))
         hashed = listed.join(texts.select("path", source_files.content_hash(F.col("content")).alias("hash")), "path", "left")
         return maintain.delta(hashed, self.store.load("manifest")).filter("change != 'unchanged'").orderBy("path")
 
     # writing
 
     def contribute(self, entity_name: str, properties: dict | None = None, relations: list[dict] | None = None, rationale: str = "", source: str = "agent") -> DataFrame:
+        """Add facts to an entity; only the rows it touches are written."""
         row = (entity_name, {k: str(v) for k, v in (properties or {}).items()}, [(r.get("target"), r.get("kind", "related_to"), r.get("note")) for r in relations or []], rationale, source)
         notes = self.spark.createDataFrame([row], "entity_name string, properties map<string,string>, relations array<struct<target:string,kind:string,note:string>>, rationale string, source string")
-        entities, edges = maintain.contribute(self.entities, self.edges, notes, _now())
-        self.store.publish({"entities": entities, "edges": edges})
+        keys = [name_key(F.lit(n)) for n in [entity_name, *[t for t, _, _ in row[2] if t]]]
+        near = stage(self.entities.filter(F.col("name_key").isin(*keys)), "touched")
+        edges = self.edges.join(near.select(F.col("id").alias("src")), "src", "left_semi").select(*self.edges.columns)
+        entities, edges = maintain.contribute(near, edges, notes, _now())
+        entities = stage(entities, "contributed")
+        self.store.publish({}, patches={"entities": entities, "edges": edges, "names": graph.names_of(entities)})
         return graph.resolve(self.entities, entity_name)
 
+    def update(self, entity: str, changes: dict | None = None, sections: dict | None = None) -> DataFrame:
+        """Set columns of an entity, overlay its facts, append to its lists; a new name is found from now on."""
+        row = graph.resolve(self.entities, entity)
+        new = stage(maintain.update(row, row.first()["id"] if not row.isEmpty() else "", changes or {}, _now(), sections=sections), "updated")
+        self.store.publish({}, patches={"entities": new, "names": graph.names_of(new)})
+        return graph.resolve(self.entities, (changes or {}).get("name", entity))
+
+    def delete(self, entity: str, hard: bool = False) -> None:
+        """Delete an entity: softly, or row and edges."""
+        entities, edges = maintain.delete(self.entities, self.edges, graph.resolve(self.entities, entity).select("id"), _now(), hard=hard)
+        tables = {"entities": entities, "names": graph.names_of(entities.filter("status != 'deleted'"))}
+        self.store.publish(tables | ({"edges": edges} if hard else {}))
+
     def scan(self, project_root: str, incremental: bool = True) -> DataFrame:
-        """Read the tree, rebuild what changed, and publish; returns the changes.
+        """Read what changed in the tree, resolve, merge and publish; returns the changes.
 
-        An incremental scan reads only files whose size or time differ.  Nothing
-        changed means no new version.
+        An incremental scan opens only files whose size or time differ from the
+        manifest's and parses only those whose content does; what the others
+        define and refer to is kept with the graph, since references cross files.
+        Contributed facts, relations and timelines stay.  Nothing changed means
+        no new version.  ``counters`` tells what the last scan did.
         """
-        manifest = self.store.load("manifest")
-        listed = stage(source_files.prefilter(source_files.listing(self.spark, project_root)), "listing")
+        at, manifest = _now(), self.store.load("manifest")
+        tree = stage(source_files.listing(self.spark, project_root), "tree")
+        listed = stage(source_files.prefilter(tree), "listing")
         todo = source_files.stat_changed(listed, manifest) if incremental else listed
-        texts = stage(source_files.read_texts(self.spark, todo, project_root), "texts")
-        hashed = listed.join(texts.select("path", source_files.content_hash(F.col("content")).alias("hash")), "path", "left")
+        texts = stage(source_files.read_texts(todo).withColumn("hash", source_files.content_hash(F.col("content"))), "texts")
+        hashed = listed.join(texts.select("path", "hash"), "path", "left")
         changes = stage(maintain.delta(hashed, manifest).filter("change != 'unchanged'"), "changes")
         if incremental and changes.isEmpty():
+            self.counters = self._counted(listed, texts, changes, None)
             return changes
-        skip = source_files.skip_reason(F.col("content"))
-        at = _now()
-        # relations cross files, so the graph is resolved over all definitions; unchanged files are parsed from the same texts
-        every = source_files.read_texts(self.spark, listed, project_root).withColumn("language", source_files.scan_language(F.col("path"))).filter(skip.isNull())
-        entities, edges = build.build(stage(extract(every), "parsed"), at)
-        before = self.entities
-        kept = before.join(entities.select("id"), "id", "left_anti")
-        gone = kept.filter("source = 'scanner' and status = 'active'").select("id")
-        entities = entities.unionByName(maintain.retire(kept.filter("source = 'scanner'"), gone, at, "removed from source")).unionByName(kept.filter("source != 'scanner' and status != 'stub'"))
+        # definitions and references: of changed files anew, of all others as they were
+        fresh = texts.filter(source_files.skip_reason(F.col("content")).isNull())
+        if incremental:
+            fresh = fresh.join(changes.select("path"), "path", "left_semi")
+        read = stage(extract(fresh.withColumn("language", source_files.scan_language(F.col("path")))), "parsed")
+        parsed = read.join(fresh.select("path", "hash"), "path")
+        if incremental:
+            known = self.store.load("parsed").join(changes.select("path"), "path", "left_anti").join(listed.select("path"), "path", "left_semi")
+            parsed = known.select("path", "hash", "language", "defs", "refs").unionByName(parsed.select("path", "hash", "language", "defs", "refs"))
+        parsed = stage(parsed, "parsed-all")
+        entities, edges = build.build(parsed, at)
+        guids = source_files.asset_guids(tree.join(listed.select(F.concat("path", F.lit(".meta")).alias("path")), "path", "left_semi"))
+        edges = edges.unionByName(build.guid_edges(parsed.select(F.inline("refs")), guids, entities))
+        entities = stage(maintain.merge_scan(self.entities, entities, at), "merged")
+        given = self.edges.filter("source is not null")
+        edges = maintain.merge_edges(schema.conform(edges, schema.EDGES).unionByName(given))
+        entities, edges = maintain.settle(entities, stage(edges, "merged-edges"), at)
+        entities = stage(entities, "settled")
         owners = entities.filter("status = 'active'").groupBy(F.col("file_path").alias("path")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
-        rows = source_files.manifest_of(source_files.read_texts(self.spark, listed, project_root), listed, at).join(owners, "path", "left").withColumn("entity_ids", F.coalesce("ids", "entity_ids")).drop("ids")
-        self.store.publish({"entities": entities, "edges": edges, "names": graph.names_of(entities), "manifest": rows})
+        rows = maintain.record_files(manifest.join(listed.select("path"), "path", "left_semi"), source_files.manifest_of(texts.select("path", "hash"), listed, at))
+        rows = rows.join(owners, "path", "left").withColumn("entity_ids", F.coalesce("ids", F.array().cast("array<string>"))).drop("ids")
+        self.store.publish({"entities": entities, "edges": edges, "names": graph.names_of(entities.filter("status != 'deleted'")), "manifest": rows, "parsed": parsed})
+        self.counters = self._counted(listed, texts, changes, read)
         return changes
 
+    counters: dict = {}
+
+    def _counted(self, listed: DataFrame, texts: DataFrame, changes: DataFrame, read: DataFrame | None) -> dict:
+        """What a scan did: files listed, opened, parsed and failed, changes by kind, and the graph's sizes."""
+        kinds = {r["change"]: r["n"] for r in changes.groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}
+        graph_now = self.entities.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()
+        return {
+            "files": listed.count(), "opened": texts.count(), "skipped": texts.filter(source_files.skip_reason(F.col("content")).isNotNull()).count(),
+            "parsed": read.count() if read is not None else 0, "failed": read.filter("parse_error is not null").count() if read is not None else 0,
+            **{k: kinds.get(k, 0) for k in ("new", "modified", "deleted")}, **{f"entities_{r['status']}": r["n"] for r in graph_now}, "relations": self.edges.count(), "version": self.store.version(),
+        }
+
     def security(self, project_root: str, severity: str = "medium", language: str = "", owasp: str = "", file: str = "", max_results: int = 50, include_false_positives: bool = False) -> DataFrame:
         listed = source_files.listing(self.spark, project_root)
-        found = security.scan(source_files.read_texts(self.spark, listed, project_root))
+        found = security.scan(source_files.read_texts(security.scannable(listed)))
         kept = security.carry_review(found, self.store.load("findings"), _now())
         kept = kept.withColumn("risk_score", security.risk_points(F.col("severity"), F.coalesce("taint_reachable", F.lit(False))).cast("int"))
         self.store.publish({"findings": kept})

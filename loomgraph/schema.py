@@ -16,7 +16,7 @@ ENTITIES = (
     "stubs array<string>, source_files array<struct<path:string,hash:string,line_from:int,line_to:int,language:string,size:bigint,scanned_at:string>>, "
     "created timestamp, updated timestamp"
 )
-EDGES = "src string, pos int, kind string, dst string, note string, called_methods array<string>"
+EDGES = "src string, pos int, kind string, dst string, note string, called_methods array<string>, source string"  # source: who contributed the edge, null for what a scan found
 NAMES = "name_key string, entity_id string, is_alias boolean"
 MANIFEST = "path string, hash string, entity_ids array<string>, language string, size bigint, mtime double, last_scanned timestamp"
 FINDINGS = (
@@ -26,6 +26,8 @@ FINDINGS = (
 DEFS = f"path string, kind string, subkind string, name string, bases array<string>, decorators array<string>, docstring string, line_start int, line_end int, signature string, is_async boolean, methods array<{METHOD}>"
 REFS = "path string, owner string, ref_kind string, target string, via string, level int, is_relative boolean, serialized boolean"
 
+PARSED = "path string, hash string, language string, defs array<struct<{}>>, refs array<struct<{}>>".format(*(",".join(p.replace(" ", ":", 1) for p in s.split(", ")) for s in (DEFS, REFS)))
+
 # The types and states an entity may have.
 GENERAL_TYPES = "person place organization event concept object document media animal plant process product tool other".split()
 SOFTWARE_TYPES = "module class function method interface component service package library config database endpoint test".split()

@@ -35,15 +35,26 @@ class Registry:
         out = self._fs.create(temp, False)
         out.write(json.dumps(entry).encode())
         out.close()
-        self._fs.delete(self._at(f"{name}.json"), False)
-        self._fs.rename(temp, self._at(f"{name}.json"))
+        # each change has a name of its own, so a crash leaves the entry before it
+        past = self._changes(name)
+        if not self._fs.rename(temp, self._at(f"{name}.{len(past) and past[-1] + 1:012d}.json")):
+            self._fs.delete(temp, False)
+            raise RuntimeError(f"{name} was registered by another writer")
+        for old_change in past:
+            self._fs.delete(self._at(f"{name}.{old_change:012d}.json"), False)
         return entry
 
+    def _changes(self, name: str) -> list[int]:
+        if not self._fs.exists(self._at("")):
+            return []
+        found = (s.getPath().getName() for s in self._fs.listStatus(self._at("")))
+        return sorted(int(f[len(name) + 1 : -5]) for f in found if re.fullmatch(re.escape(name) + r"\.\d{12}\.json", f))
+
     def get(self, name: str) -> dict | None:
-        at = self._at(f"{name}.json")
-        if not SAFE_NAME.fullmatch(name) or not self._fs.exists(at):
+        past = self._changes(name) if SAFE_NAME.fullmatch(name) else []
+        if not past:
             return None
-        stream = self._fs.open(at)
+        stream = self._fs.open(self._at(f"{name}.{past[-1]:012d}.json"))
         try:
             return json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
         finally:
@@ -52,11 +63,12 @@ class Registry:
     def list(self) -> dict[str, dict]:
         if not self._fs.exists(self._at("")):
             return {}
-        names = sorted(s.getPath().getName()[:-5] for s in self._fs.listStatus(self._at("")) if s.getPath().getName().endswith(".json"))
+        names = sorted({s.getPath().getName().rsplit(".", 2)[0] for s in self._fs.listStatus(self._at("")) if s.getPath().getName().endswith(".json")})
         return {n: self.get(n) for n in names}
 
     def remove(self, name: str) -> bool:
-        return bool(SAFE_NAME.fullmatch(name)) and self._fs.delete(self._at(f"{name}.json"), False)
+        past = self._changes(name) if SAFE_NAME.fullmatch(name) else []
+        return bool([self._fs.delete(self._at(f"{name}.{c:012d}.json"), False) for c in past])
 
     def resolve(self, name_or_path: str) -> str:
         """The path of a registered name whose folder is still there, else the argument itself."""

@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from loomgraph import api
-from loomgraph.operators import build, extract
+from loomgraph.operators import build, extract, graph
 from loomgraph.operators.extract import lexical, python_ast
 
 FILES = {
@@ -74,6 +74,89 @@ def test_contribution_and_messages(spark, tmp_path):
     assert found.count() == 0
 
 
+def test_a_rescan_keeps_what_was_contributed_and_opens_only_what_changed(spark, tmp_path):
+    root = str(tmp_path / "src")
+    write(root, {"a.py": "class A:\n    def go(self):\n        return B()\n", "b.py": "class B:\n    pass\n", "c.py": "from a import A\nclass C(A):\n    pass\n"})
+    engine = api.Engine(spark, str(tmp_path / "store"))
+    engine.scan(root)
+    assert engine.counters["opened"] == engine.counters["parsed"] == 3
+    engine.contribute("A", {"owner": "me"}, [{"target": "Ledger", "kind": "uses", "note": "by hand"}], "seen in review")
+    engine.update("B", sections={"tags": ["core"], "custom": {"tier": "1"}})
+    before = {r["name"]: r for r in engine.entities.collect()}
+    edges = {(r["src"], r["kind"], r["dst"]) for r in engine.edges.collect()}
+    write(root, {"b.py": "class B:\n    def more(self):\n        pass\n"})
+    os.utime(f"{root}/b.py", (2_000_000_000, 2_000_000_000))
+    assert [(r["path"], r["change"]) for r in engine.scan(root).collect()] == [("b.py", "modified")]
+    assert (engine.counters["files"], engine.counters["opened"], engine.counters["parsed"], engine.counters["modified"]) == (3, 1, 1, 1)
+    after = {r["name"]: r for r in engine.entities.collect()}
+    a, b = after["A"], after["B"]
+    assert a["version"] == before["A"]["version"] and a["custom"]["owner"] == "me" and a["custom"]["language"] == "python" and a["timeline"] == before["A"]["timeline"] != None  # noqa: E711
+    assert b["version"] == before["B"]["version"] + 1 and b["methods"] == ["more"] and b["tags"] == ["core"] and b["custom"]["tier"] == "1" and b["created"] == before["B"]["created"]
+    assert after["Ledger"]["status"] == "stub" and {(r["src"], r["kind"], r["dst"]) for r in engine.edges.collect()} == edges
+    assert engine.edges.filter("source = 'agent'").count() == 1
+    # the contributed target turns up in source: the stub is promoted in place, the relation stays
+    write(root, {"ledger.py": "class Ledger:\n    pass\n"})
+    engine.scan(root)
+    again = {r["name"]: r for r in engine.entities.collect()}
+    assert again["Ledger"]["status"] == "active" and again["Ledger"]["id"] == after["Ledger"]["id"] and again["Ledger"]["type"] == "class"
+    assert (a["id"], "uses", after["Ledger"]["id"]) in {(r["src"], r["kind"], r["dst"]) for r in engine.edges.collect()}
+    # a full scan opens everything and keeps the facts, too
+    engine.scan(root, incremental=False)
+    assert engine.counters["opened"] == 4 and {r["name"]: r["custom"] for r in engine.entities.collect()}["A"]["owner"] == "me"
+
+
+def test_stubs_are_resolved_and_unused_ones_go(spark, tmp_path):
+    root = str(tmp_path / "src")
+    write(root, {"a.py": "import util.text\nclass A(Base):\n    pass\n"})
+    engine = api.Engine(spark, str(tmp_path / "store"))
+    engine.scan(root)
+    assert {r["name"] for r in engine.entities.filter("status = 'stub'").collect()} == {"util", "Base"}
+    write(root, {"a.py": "class A:\n    pass\n"})
+    os.utime(f"{root}/a.py", (2_000_000_000, 2_000_000_000))
+    engine.scan(root)
+    assert engine.entities.filter("status = 'stub'").count() == 0
+
+
+def test_update_rename_and_delete(spark, tmp_path):
+    root = str(tmp_path / "src")
+    write(root, {"a.py": "class A:\n    pass\nclass B(A):\n    pass\n"})
+    engine = api.Engine(spark, str(tmp_path / "store"))
+    engine.scan(root)
+    row = engine.update("a", {"kind": ["service"], "name": "Account"}, {"aliases": ["Acc", "Acc"], "custom": {"x": 1}}).first()
+    assert row["kind"] == ["service"] and row["name_key"] == "account" and row["version"] == 2 and row["aliases"] == ["Acc"] and row["custom"]["x"] == "1"
+    assert graph.resolve(engine.entities, "acc").first()["id"] == row["id"]
+    engine.delete("Account")
+    assert engine.find("Account").isEmpty() and engine.entities.filter("name = 'Account'").first()["status"] == "deleted"
+    engine.delete("B", hard=True)
+    assert engine.entities.filter("name = 'B'").isEmpty()
+
+
+SCRIPTS = {
+    "Assets/Door.cs": "using UnityEngine;\npublic class Door : MonoBehaviour {\n  public void Open() {\n  }\n}\n",
+    "Assets/Lamp.cs": "public class Lamp : MonoBehaviour {\n  public void Toggle() {\n  }\n}\n",
+    "Assets/Hand.cs": "public class Hand {\n  [SerializeField] private Door door;\n  public void Push() {\n    door.Open();\n  }\n}\n",
+    "Assets/Unused.cs": "public class Unused {\n}\n",
+    "Assets/House.prefab": "%YAML 1.1\nMonoBehaviour:\n  m_Script: {fileID: 11500000, guid: " + "a" * 32 + ", type: 3}\n",
+    "Assets/Town.unity": "%YAML 1.1\nMonoBehaviour:\n  m_Script: {fileID: 11500000, guid: " + "B" * 32 + ", type: 3}\n  m_PersistentCalls:\n    m_Calls:\n    - m_Target: {fileID: 5}\n      m_TargetAssemblyTypeName: Lamp, Assembly-CSharp\n      m_MethodName: Toggle\n    - m_TargetAssemblyTypeName: UnityEngine.GameObject, UnityEngine\n      m_MethodName: SetActive\n",
+    "Assets/Door.cs.meta": "fileFormatVersion: 2\nguid: " + "a" * 32 + "\n",
+    "Assets/Lamp.cs.meta": "fileFormatVersion: 2\nguid: " + "b" * 32 + "\n",
+}
+
+
+def test_assets_are_wired_to_scripts(spark, tmp_path):
+    root = str(tmp_path / "src")
+    write(root, SCRIPTS)
+    engine = api.Engine(spark, str(tmp_path / "store"))
+    engine.scan(root)
+    ids = {r["name"]: r["id"] for r in engine.entities.collect()}
+    edges = {(r["src"], r["kind"], r["dst"]) for r in engine.edges.collect()}
+    assert (ids["Assets/House.prefab"], "uses", ids["Door"]) in edges and (ids["Assets/Town.unity"], "uses", ids["Lamp"]) in edges
+    assert (ids["Assets/Town.unity"], "calls", ids["Lamp"]) in edges and "GameObject" not in ids
+    assert {r["name"] for r in engine.impact("Lamp.Toggle", depth=1, slim=True).collect()} == {"Assets/Town.unity"}
+    lone = {r["name"] for r in engine.orphans(types=["class"]).collect()}
+    assert "Unused" in lone and not lone & {"Door", "Lamp"}
+
+
 def test_extractors_never_fail(spark):
     rows = [("a.py", "python", "def (:"), ("b.py", "python", None), ("c.xyz", "", "x"), ("d.py", "python", "x = 1\n" * 2000)]
     rows += [(f"x.{k}", k, "class A { " * 50) for k in lexical.LANGUAGES] + [(None, "python", "x")]
@@ -124,6 +207,6 @@ def test_assets(spark):
     from loomgraph.operators.extract import assets
 
     guid = "0123456789abcdef0123456789ABCDEF"
-    defs, refs = assets.extract("a.prefab", f"m_Script: {{fileID: 1, guid: {guid}}}\nm_TargetAssemblyTypeName: Game.Door, Assembly\nm_MethodName: Open\n")
+    defs, refs = assets.extract("a.prefab", f"%YAML 1.1\nm_Script: {{fileID: 1, guid: {guid}}}\nm_TargetAssemblyTypeName: Game.Door, Assembly\nm_MethodName: Open\n")
     assert defs[0]["subkind"] == "unity.prefab" and ("guid", guid.lower()) in {(r["ref_kind"], r["target"]) for r in refs} and ("method_call", "Door::Open") in {(r["ref_kind"], r["target"]) for r in refs}
     assert assets.extract("a.asset", "x: 1") == ([], [])

@@ -13,7 +13,7 @@ def fixture(spark):
     ]
     ents = spark.createDataFrame(rows, "id string, seq bigint, type string, name string, status string, summary string, file_path string, line_start int, methods array<string>")
     entities = schema.conform(ents, schema.ENTITIES)
-    edges = spark.createDataFrame([("c", 0, "calls", "f", None, ["run"]), ("t", 0, "calls", "c", None, []), ("c", 1, "uses", "s", None, []), ("c", 2, "calls", "c", None, []), ("f", 0, "calls", "t", None, [])], schema.EDGES)
+    edges = spark.createDataFrame([(*r, None) for r in [("c", 0, "calls", "f", None, ["run"]), ("t", 0, "calls", "c", None, []), ("c", 1, "uses", "s", None, []), ("c", 2, "calls", "c", None, []), ("f", 0, "calls", "t", None, [])]], schema.EDGES)
     return entities, edges
 
 
@@ -46,7 +46,7 @@ def test_path_orphans_neighborhood(spark):
     assert steps == [(0, "c", None, None, "semantic"), (1, "f", "calls", False, "semantic")]
     assert [r[0] for r in graph.shortest_path(e, g, "f", "f").collect()] == [0]
     assert graph.shortest_path(e, g, "f", "m").count() == 0
-    only = spark.createDataFrame([("c", 0, "calls", "f", None, [])], schema.EDGES)
+    only = spark.createDataFrame([("c", 0, "calls", "f", None, [], None)], schema.EDGES)
     assert ids(graph.orphans(e, only)) == [("c",)]
     n, inner = graph.neighborhood(e, g, "UserService", depth=1)
     assert ids(n, "hop") == [("c", 0), ("f", 1), ("s", 1), ("t", 1)]

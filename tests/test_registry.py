@@ -30,7 +30,7 @@ def test_background_run(spark):
 def test_store_publishes_together(spark, tmp_path):
     store = GraphStore(spark, str(tmp_path / "s"))
     assert store.version() == 0 and store.load("edges").count() == 0
-    edges = spark.createDataFrame([("a", 0, "calls", "b", None, [])], schema.EDGES)
+    edges = spark.createDataFrame([("a", 0, "calls", "b", None, [], None)], schema.EDGES)
     assert store.publish({"edges": edges}) == 1
     store.publish({"names": spark.createDataFrame([("a", "a", False)], schema.NAMES)})
     assert store.version() == 2 and store.load("edges").count() == 1 and store.load("names").count() == 1

@@ -157,7 +157,7 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(x.sum(1, keepdims=True), EPS)
 
 
-def fit(vectors: DataFrame, samples: list[tuple[str, list[str]]], subjects: list[tuple[str, str]], *, n_columns: int = 1 << 18, weight: float = 5.0, steps: int = 6, settled: float = 0.001, anchor: float = 0.4, firm: int = 3) -> Model:
+def fit(vectors: DataFrame, samples: list[tuple[str, list[str]]], subjects: list[tuple[str, str]], *, n_columns: int = 1 << 18, weight: float = 5.0, steps: int = 4, settled: float = 0.002, anchor: float = 0.4, firm: int = 3) -> Model:
     """Factor the corpus, seeded by labelled samples and the subjects' descriptions.
 
     Every term is one of ``n_columns`` columns.  One component without a label

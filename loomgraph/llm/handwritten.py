@@ -3,7 +3,8 @@
 Three grammars are inferred from the tokens of each file, many files at a time:
 
 * a Re-Pair grammar over token classes (names, numbers and strings each one
-  class): files that a tool writes are one rule used over and over;
+  class): files that a tool writes are one rule used over and over, and the
+  rules of minified files meet no line ends;
 * the same over the characters of long literals: what stays near its own length
   is random or encoded data;
 * a grammar by locally consistent pairing over the tokens themselves.  Equal
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import stage
 
-_TOKEN = re.compile(r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|[^\W\d][\w$]*|\$[\w$]*|\d[\w.]*|[^\w\s]")
+_TOKEN = re.compile(r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|[^\W\d][\w$]*|\$[\w$]*|\d[\w.]*|[^\w\s]|\n")
 # Literals stand beside comments, so that no comment starts within one; group 1 is what stays.  A regular expression
 # stands where no division can; `//` after a colon is an address in plain text.  All start with a fixed character: fast.
 _COMMENT = re.compile(
@@ -77,27 +79,41 @@ def _alternate(keys: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return (offset % 2 == 0) & (left[run] | (offset > 0)) & right
 
 
-def repair(symbols: np.ndarray, files: np.ndarray, n_files: int, rounds: int = 24, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, grammar size and rule share of each file, see ``_grammars``."""
-    return _grammars(symbols, files, n_files, rounds, least)[:3]
+class Grammars(NamedTuple):
+    """Of each file: its symbols, its grammar's size, the share of its symbols under its most used rule, its rules, symbols under rules, and line ends in or behind these."""
 
+    n: np.ndarray
+    size: np.ndarray
+    share: np.ndarray
+    rules: np.ndarray
+    covered: np.ndarray
+    breaks: np.ndarray
 
-def _grammars(symbols: np.ndarray, files: np.ndarray, n_files: int, rounds: int = 24, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair on many files: symbols, grammar size of each, the share of its symbols under its most used rule, and its rules.
+
+def repair(symbols: np.ndarray, files: np.ndarray, n_files: int, ends: np.ndarray | None = None, least: int = 8) -> Grammars:
+    """Re-Pair on many files, until no pair of any file repeats.
 
     Each round replaces, in every file, the pairs that occur at least half as
     often as its most frequent one.  The share counts rules of ``least`` symbols
-    or more at the time they are made.
+    or more at the time they are made.  ``ends``: whether a line ends behind each
+    symbol.
     """
     n = np.bincount(files, minlength=n_files)
     length = np.ones(len(symbols), dtype=np.int64)
+    after = np.zeros(len(symbols), dtype=np.int64) if ends is None else ends.astype(np.int64)
+    within = np.zeros(len(symbols), dtype=np.int64)  # line ends between the tokens of a symbol
     rules = np.zeros(n_files, dtype=np.int64)
     share = np.zeros(n_files)
     left = np.ones(n_files, dtype=bool)  # files in which a pair still repeats
-    done = np.zeros(n_files, dtype=np.int64)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    done, covered, breaks = (np.zeros(n_files, dtype=np.int64) for _ in range(3))
+
+    def finish(which: np.ndarray) -> None:
+        made = which & (length > 1)
+        done[:] += np.bincount(files[which], minlength=n_files)
+        covered[:] += np.bincount(files[made], length[made], n_files).astype(np.int64)
+        breaks[:] += np.bincount(files[made], within[made] + after[made], n_files).astype(np.int64)
+
+    while len(symbols) > 1:
         at = np.flatnonzero(files[1:] == files[:-1])
         pair = _mix(symbols[at], symbols[at + 1])
         key = _mix(pair, files[at].astype(np.uint64))
@@ -119,27 +135,29 @@ def _grammars(symbols: np.ndarray, files: np.ndarray, n_files: int, rounds: int
         long = length[where] + length[where + 1]
         symbols = symbols.copy()
         symbols[where], length[where] = pair[chosen], long
+        within[where] += after[where] + within[where + 1]
+        after[where] = after[where + 1]
         big = long >= least
         np.maximum.at(share, files[where[big]], uses[big] * long[big] / n[files[where[big]]])
         _, one = np.unique(inverse[chosen], return_index=True)
         rules += np.bincount(files[where[one]], minlength=n_files)
         keep = np.ones(len(symbols), dtype=bool)
         keep[where + 1] = False
-        symbols, files, length = symbols[keep], files[keep], length[keep]
+        symbols, files, length, after, within = (x[keep] for x in (symbols, files, length, after, within))
         # files without a repeated pair are finished
         moved = np.zeros(n_files, dtype=bool)
         moved[files[(np.cumsum(keep) - 1)[where]]] = True
         rest = left & ~moved
         if rest.any():
             out = rest[files]
-            done += np.bincount(files[out], minlength=n_files)
+            finish(out)
             left &= moved
-            symbols, files, length = symbols[~out], files[~out], length[~out]
-    size = done + np.bincount(files, minlength=n_files) + 2 * rules
-    return n, size, share, rules
+            symbols, files, length, after, within = (x[~out] for x in (symbols, files, length, after, within))
+    finish(np.ones(len(symbols), dtype=bool))
+    return Grammars(n, done + 2 * rules, share, rules, covered, breaks)
 
 
-def consistent_rules(symbols: np.ndarray, files: np.ndarray, least: int = 12, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def consistent_rules(symbols: np.ndarray, files: np.ndarray, least: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules by locally consistent pairing: symbol, length and file of each stretch of about ``least`` symbols or more.
 
     A pair is replaced where its hash is greater than those of the pairs beside
@@ -147,9 +165,7 @@ def consistent_rules(symbols: np.ndarray, files: np.ndarray, least: int = 12, ro
     enough are left alone, so all files are cut at the same places.
     """
     length = np.ones(len(symbols), dtype=np.int64)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         open_ = (files[1:] == files[:-1]) & (length[1:] < least) & (length[:-1] < least)
         pair = _mix(symbols[:-1], symbols[1:])
         rank = np.where(open_, (pair >> np.uint64(11)).astype(np.float64) + 1, 0.0)
@@ -202,9 +218,9 @@ def coded_share(symbols: np.ndarray) -> tuple[float, float]:
     distinct = len(np.unique(symbols))
     if distinct < 2:
         return 0.0, 0.0
-    _, size, _, rules = _grammars(symbols.astype(np.uint64), np.zeros(len(symbols), dtype=np.int64), 1)
-    share = float(size[0] / len(symbols))
-    return share, share * float(np.log2(distinct + rules[0]) / np.log2(distinct))
+    made = repair(symbols.astype(np.uint64), np.zeros(len(symbols), dtype=np.int64), 1)
+    share = float(made.size[0] / len(symbols))
+    return share, share * float(np.log2(distinct + made.rules[0]) / np.log2(distinct))
 
 
 def literal_share(text: str) -> float:
@@ -237,18 +253,32 @@ def origin(path: str | None, text: str) -> str | None:
     return "hint" if folder or header else None
 
 
-SIGNALS = "origin string, n_tokens int, reuse double, rule_share double, line_tokens double, blob double"
+# line ends a token in written and in minified code: the two models between which a file's rules decide
+WRITTEN, MINIFIED = 0.08, 0.002
+SIGNALS = "origin string, n_tokens int, reuse double, rule_share double, minified double, blob double"
+
+
+def minified_odds(covered: np.ndarray, breaks: np.ndarray) -> np.ndarray:
+    """Logarithm of the odds that line ends at a file's rules are as rare as in minified code, not as in written code.
+
+    Line ends are Poisson events of either rate, so the odds grow with what the
+    rules cover: a file whose rules cover little says little.
+    """
+    return covered * (WRITTEN - MINIFIED) - breaks * np.log(WRITTEN / MINIFIED)
 
 
-def _measure(texts: list[str | None], memory: _Tokens) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], tuple]:
+def _measure(texts: list[str | None], memory: _Tokens) -> tuple[list[np.ndarray], tuple]:
     found = [_TOKEN.findall(_COMMENT.sub(r"\1 ", t)) if t else [] for t in texts]
     sizes = np.array([len(f) for f in found], dtype=np.int64)
     packed = np.fromiter((memory[w] for f in found for w in f), dtype=np.int64, count=int(sizes.sum())).astype(np.uint64)
     files = np.repeat(np.arange(len(texts)), sizes)
-    n, size, share = repair(packed >> np.uint64(32), files, len(texts))
-    lines = np.array([(t.count("\n") + 1 if t else 1) for t in texts])
-    signals = [n, n / np.maximum(size, 1), share, n / lines, np.array([literal_share(t) if t else 0.0 for t in texts])]
-    return n, files, signals, consistent_rules(packed & np.uint64(0xFFFFFFFF), files)
+    line = packed == np.uint64(memory["\n"])
+    # whether a line ends behind each token
+    ends = np.append(line[1:], False)[~line]
+    packed, files = packed[~line], files[~line]
+    made = repair(packed >> np.uint64(32), files, len(texts), ends)
+    signals = [made.n, made.n / np.maximum(made.size, 1), made.share, minified_odds(made.covered, made.breaks), np.array([literal_share(t) if t else 0.0 for t in texts])]
+    return signals, consistent_rules(packed & np.uint64(0xFFFFFFFF), files)
 
 
 def file_signals(files: DataFrame, *, key: str, path: str, owner: str, text: str, batch: int = 1000) -> DataFrame:
@@ -262,23 +292,24 @@ def file_signals(files: DataFrame, *, key: str, path: str, owner: str, text: str
             for at in range(0, whole.num_rows, batch):
                 part = whole.slice(at, batch)
                 texts = part.column(3).to_pylist()
-                _, _, signals, (symbols, length, of) = _measure(texts, memory)
+                signals, (symbols, length, of) = _measure(texts, memory)
                 # a rule counts once a file, with all it covers there
                 ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=part.num_rows))])
                 rules = pa.StructArray.from_arrays([pa.array(symbols.view(np.int64)), pa.array(length.astype(np.int32))], names=["rule", "length"])
                 columns = [pa.array([origin(p, t) for p, t in zip(part.column(1).to_pylist(), texts)], pa.string()), pa.array(signals[0].astype(np.int32)), *[pa.array(np.asarray(s, dtype=np.float64)) for s in signals[1:]]]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), rules)], schema=pa.schema([*[whole.schema.field(c) for c in range(3)], *[pa.field(n, t) for n, t in (("origin", pa.string()), ("n_tokens", pa.int32()), ("reuse", pa.float64()), ("rule_share", pa.float64()), ("line_tokens", pa.float64()), ("blob", pa.float64()))], pa.field("rules", pa.list_(pa.struct([("rule", pa.int64()), ("length", pa.int32())])))]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), rules)], schema=pa.schema([*[whole.schema.field(c) for c in range(3)], *[pa.field(n, t) for n, t in (("origin", pa.string()), ("n_tokens", pa.int32()), ("reuse", pa.float64()), ("rule_share", pa.float64()), ("minified", pa.float64()), ("blob", pa.float64()))], pa.field("rules", pa.list_(pa.struct([("rule", pa.int64()), ("length", pa.int32())])))]))
 
     return files.select(key, path, owner, text).filter(F.col(text) != "").mapInArrow(run, schema)
 
 
-def not_handwritten(files: DataFrame, *, key: str, path: str, owner: str, text: str, min_owners: int = 5, min_shared: float = 0.3) -> DataFrame:
+def not_handwritten(files: DataFrame, *, key: str, path: str, owner: str, text: str, min_owners: int = 5, min_shared: float = 0.3, min_odds: float = 7.0, hot_from: int = 1_000_000) -> DataFrame:
     """``key, reason`` and the signals of each file that was not written by hand.
 
     ``reason`` is ``vendored`` (at least ``min_shared`` of its tokens under rules
     that ``min_owners`` owners or more share, or two or more if its path or header
-    hints at a library; or these say so by themselves), ``minified``, ``blob`` or
-    ``generated``, the first that holds.  Null and empty texts are no cases, nor
+    hints at a library; or these say so by themselves), ``minified`` (with at
+    least ``min_odds``), ``blob`` or ``generated``, the first that holds.  Rules
+    of ``hot_from`` files or more are split over as many tasks as they fill.  Null and empty texts are no cases, nor
     are prose and settings files, whose repeats say nothing.  A null owner is one
     owner, a null path one without a suffix.  Repeated files give repeated rows.
     """
@@ -286,16 +317,20 @@ def not_handwritten(files: DataFrame, *, key: str, path: str, owner: str, text:
     code = measured.filter(~F.coalesce(F.col(path), F.lit("")).rlike(_PROSE))
     rows = code.select(key, F.coalesce(F.xxhash64(owner), F.lit(0)).alias("owner"), F.inline("rules"))
     # per rule and owner first, so that a rule found everywhere is a few rows before it meets its files
-    several = rows.select("rule", "owner").distinct().groupBy("rule").agg(F.count(F.lit(1)).alias("owners")).filter(F.col("owners") >= min(2, min_owners))
-    lengths = rows.groupBy(key, "rule").agg(F.sum("length").alias("length")).join(several, "rule")
+    owned = rows.groupBy("rule", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("rule").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("n"))
+    several = stage(owned.filter(F.col("owners") >= min(2, min_owners)), "shared-rules")
+    hot = several.filter(F.col("n") >= hot_from).select("rule", (F.floor(F.col("n") / F.lit(hot_from)) + 1).cast("int").alias("salts"))  # at most all rows / hot_from
+    salts = F.coalesce("salts", F.lit(1))
+    spread = several.join(F.broadcast(hot), "rule", "left").select("rule", "owners", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    lengths = rows.join(F.broadcast(hot), "rule", "left").withColumn("salt", F.pmod(F.xxhash64(key), salts).cast("int")).groupBy(key, "rule", "salt").agg(F.sum("length").alias("length")).join(spread, ["rule", "salt"])
     shared = lengths.groupBy(key).agg(F.sum(F.when(F.col("owners") >= min_owners, F.col("length"))).alias("shared"), F.sum("length").alias("shared_few"))
     tokens = F.greatest(F.col("n_tokens"), F.lit(1))
     judged = code.drop("rules").join(shared, key, "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) / tokens for c in ("shared", "shared_few")})
     copied = {c: (F.col(c) >= min_shared) & (F.col(c) * F.col("n_tokens") >= LEAST_SHARED) for c in ("shared", "shared_few")}
     reason = (
         F.when(copied["shared"] | F.col("origin").eqNullSafe("library") | F.col("origin").eqNullSafe("hint") & copied["shared_few"], "vendored")
-        .when((F.col("line_tokens") >= 60) & (F.col("n_tokens") >= 150), "minified")
+        .when(F.col("minified") >= min_odds, "minified")
         .when(F.col("blob") >= 0.5, "blob")
         .when((F.col("reuse") >= 4.5) | (F.col("reuse") >= 2.4) & (F.col("rule_share") >= 0.65), "generated")
     )
-    return judged.withColumn("reason", reason).filter("reason is not null").select(key, "reason", "n_tokens", "reuse", "rule_share", "line_tokens", "blob", "shared")
+    return judged.withColumn("reason", reason).filter("reason is not null").select(key, "reason", "n_tokens", "reuse", "rule_share", "minified", "blob", "shared")

@@ -258,3 +258,10 @@ def orphans(entities: DataFrame, edges: DataFrame, *, types: list[str] | None =
         | path.rlike("(?:" + "|".join(f.replace(".", r"\.") for f in ENTRY_FILES) + ")$") | F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, VENDOR_DIRS))) | editor_entry(entities)
     )
     return rest.filter(~explained).select("id", "name", "type", "file_path")
+
+
+def orphan_page(found: DataFrame, max_results: int = 100) -> DataFrame:
+    """The first orphans by type, name and id, each with the ``total`` before the limit; the total is a count of its own, not a window over all rows."""
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    page = found.orderBy("type", "name", "id").limit(max_results)
+    return page.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k").drop("_k")

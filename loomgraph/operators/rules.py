@@ -231,15 +231,25 @@ RULES: tuple[Rule, ...] = (
 )
 
 
+def register_rule(rule: Rule, rules: tuple[Rule, ...] | None = None) -> tuple[Rule, ...]:
+    """The catalog with a rule added, or the one of its id replaced; without ``rules`` the catalog that scans use by default."""
+    global RULES
+    known = RULES if rules is None else rules
+    out = tuple(r for r in known if r.rule_id != rule.rule_id) + (rule,)
+    if rules is None:
+        RULES = out
+    return out
+
+
 def languages(rule: Rule) -> list[str]:
     return [x for short in rule.languages.split() for x in _LANG[short]]
 
 
-def rule_rows(rules: tuple[Rule, ...] = RULES) -> list[tuple]:
+def rule_rows(rules: tuple[Rule, ...] | None = None) -> list[tuple]:
     """Rows of the rules table, one per rule and language: ``rule_id, severity, owasp, cwe, fix, description, language, regex, noise, ord``."""
     return [
         (r.rule_id, r.severity, OWASP.get(r.owasp, r.owasp), r.cwe, FIXES.get(r.cwe, ""), r.description, language, r.regex, list(r.noise), n)
-        for n, r in enumerate(rules)
+        for n, r in enumerate(RULES if rules is None else rules)
         for language in languages(r)
     ]
 

@@ -11,7 +11,23 @@ from loomgraph.functions.text import name_key, name_words, query_tokens, with_sy
 from loomgraph.functions.vocab import DETAIL_TYPES, IMPACT_KINDS, OUTBOUND_KINDS
 from loomgraph.operators.graph import resolve
 
-TOKENS_PER_ENTITY = 80
+TOKENS_PER_ENTITY = 80  # fixed value
+
+
+def token_estimate(found: DataFrame) -> DataFrame:
+    """One row ``n, tokens``: entities of a result and about how many tokens their text takes."""
+    return found.agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) * TOKENS_PER_ENTITY).alias("tokens"))
+
+
+def last_events(entities: DataFrame, n: int = 3) -> DataFrame:
+    """``id, events``: the last ``n`` events of each timeline, in order."""
+    t = F.col("timeline")
+    return entities.select("id", F.when(t.isNotNull(), F.slice(t, F.greatest(F.size(t) - n + 1, F.lit(1)), n)).alias("events"))
+
+
+def grouped(found: DataFrame, by: str) -> DataFrame:
+    """``by, n, names``: a small result grouped for display, names in order."""
+    return found.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
 
 
 def tokens_of(spark, query: str) -> list[str]:
@@ -130,27 +146,34 @@ def method_definitions(entities: DataFrame, query: str) -> DataFrame:
 def method_callers(entities: DataFrame, edges: DataFrame, definitions: DataFrame, method: str) -> DataFrame:
     """``class_id, id, via, line``: who calls the method on the classes of ``definitions`` (``id``).
 
-    A call triple counts if it has no receiver, names the class, or its owner
-    has any relation to the class; owners without such a triple count if a
-    relation to the class lists the method or names it in its note.
+    A call triple counts for the class that its receiver names and for classes
+    to which its owner has any relation; one without a receiver counts for every
+    other class, which is one row whose ``class_id`` is null.  Owners without
+    such a triple count if a relation to the class lists the method or names it
+    in its note.  Every step is an equality join.
     """
     low = method.lower()
     live = entities.filter("status not in ('deleted', 'stub')")
-    classes = definitions.join(live.select("id", F.lower("name").alias("cname")), "id").select(F.col("id").alias("class_id"), "cname")
-    triples = live.select("id", "line_start", "method_details", F.explode("called_methods").alias("c")).filter(F.lower("c.method") == low)
+    classes = definitions.join(live.select("id", F.lower("name").alias("cname")), "id").select(F.col("id").alias("class_id"), "cname").distinct()
+    triples = live.select("id", "line_start", "method_details", F.explode("called_methods").alias("c")).filter(F.lower("c.method") == low).withColumn("receiver", F.lower(F.coalesce("c.receiver", F.lit(""))))
     related = edges.join(classes.select(F.col("class_id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("class_id"), "kind", "note", "called_methods", "pos")
-    pairs = related.select("id", "class_id").distinct().withColumn("rel", F.lit(True))
-    # definitions of one method name are few; the calls of it are what is large
-    joined = triples.join(classes, F.lit(True)).filter("id != class_id").join(pairs, ["id", "class_id"], "left")
-    receiver = F.coalesce("c.receiver", F.lit(""))
-    direct = joined.filter((receiver == "") | (F.lower(receiver) == F.col("cname")) | F.coalesce("rel", F.lit(False)))
+    # a class calling its own method without a receiver means another class only if there is one
+    lone = classes.agg(F.min("class_id").alias("id"), F.count(F.lit(1)).alias("n")).filter("n = 1").select("id")
+    cols = ["class_id", "id", "line_start", "method_details", "c"]
+    free = triples.filter("receiver = ''").join(lone, "id", "left_anti").withColumn("class_id", F.lit(None).cast("string")).select(*cols)
+    named = triples.filter("receiver != ''").join(classes.withColumnRenamed("cname", "receiver"), "receiver").select(*cols)
+    linked = triples.filter("receiver != ''").join(related.select("id", "class_id").distinct(), "id").select(*cols)
+    direct = free.unionByName(named).unionByName(linked).filter("class_id is null or id != class_id")
+    if classes.limit(1).isEmpty():
+        direct = direct.limit(0)
     via_fn = F.coalesce("c.via", F.lit(""))
     own = F.filter(F.coalesce("method_details", F.array().cast("array<struct<name:string,signature:string,line_start:int,line_end:int>>")), lambda d: F.lower(d["name"]) == F.lower(via_fn))
     line = F.get(F.transform(own, lambda d: d["line_start"]), F.lit(0))
     a = direct.select("class_id", "id", F.when(via_fn == "", F.concat(F.lit(f"calls {method}"))).otherwise(F.concat(F.lit(f"calls {method} (in "), via_fn, F.lit(")"))).alias("via"), F.coalesce(line, F.col("line_start")).alias("line"))
     listed = F.exists(F.coalesce("called_methods", F.array().cast("array<string>")), lambda m: F.lower(m) == low)
     noted = F.lower(F.coalesce("note", F.lit(""))).contains(low)
-    b = related.filter("id != class_id").join(a.select("class_id", "id").distinct(), ["class_id", "id"], "left_anti").filter(listed | noted).join(live.select("id", "line_start"), "id")
+    known = a.select("class_id", "id").distinct()
+    b = related.filter("id != class_id").filter(listed | noted).join(known.filter("class_id is not null"), ["class_id", "id"], "left_anti").join(known.filter("class_id is null").select("id"), "id", "left_anti").join(live.select("id", "line_start"), "id")
     b = b.select("class_id", "id", F.when(listed, F.lit(f"calls {method}")).otherwise(F.concat(F.col("kind"), F.lit(" ("), F.col("note"), F.lit(")"))).alias("via"), F.col("line_start").alias("line"))
     return a.unionByName(b).groupBy("class_id", "id", "via").agg(F.min("line").alias("line"))
 

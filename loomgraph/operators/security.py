@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import finding_id, is_handler_file, is_test_file, lookup, suffix
 from loomgraph.functions.vocab import REACHABLE_POINTS, RULE_LANGUAGES, SECURITY_SKIP_DIRS, SEVERITY_POINTS, SEVERITY_RANK
-from loomgraph.operators.rules import RULE_SCHEMA, RULES, Rule, languages, rule_rows
+from loomgraph.operators import rules as catalog_of
+from loomgraph.operators.rules import RULE_SCHEMA, Rule, languages, rule_rows
 
 _COMMENT = ("//", "#", "/*", "<!--", "--")
 MATCHES = "file string, language string, rule_id string, line int, snippet string"
 
 
-def rules_table(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def rules_table(spark: SparkSession, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """The catalog as a table of fixed size."""
     return spark.createDataFrame(rule_rows(rules), RULE_SCHEMA)
 
@@ -50,7 +51,7 @@ def matcher(rules: tuple[Rule, ...]):
         if not text or not text.strip() or language not in by:
             return []
         lines, out, low = text.split("\n"), [], text.lower()
-        plain = "\u017f" not in text  # matches s in any case, but is no s in lower case
+        plain = text.isascii()  # other letters match some of ASCII in any case, but are not these in lower case
         for rule, compiled, literal in by[language]:
             if plain and literal not in low:
                 continue
@@ -70,7 +71,7 @@ def matcher(rules: tuple[Rule, ...]):
     return match
 
 
-def rule_hits(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def rule_hits(files: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """``file, language, rule_id, line, snippet`` of every rule hit in files with ``path, language, content``.
 
     Matches may span lines and count once a rule and line, on their first line;
@@ -79,8 +80,10 @@ def rule_hits(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     read in Arrow batches and only hits come back.
     """
 
+    used = catalog_of.RULES if rules is None else rules
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = matcher(rules)
+        match = matcher(used)
         for batch in batches:
             hits, at = [], []
             for i, (language, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
@@ -150,11 +153,20 @@ def severity_counts(findings: DataFrame) -> DataFrame:
 
 
 def file_risk(findings: DataFrame, top: int | None = 5) -> DataFrame:
-    """``file, risk, n``: the files of the highest summed risk; ties by path."""
-    out = findings.groupBy("file").agg(F.sum(risk_points(F.col("severity"), F.col("taint_reachable"))).cast("bigint").alias("risk"), F.count(F.lit(1)).alias("n"))
+    """``file, risk, n, severities``: the files of the highest summed risk, with the severities they have; ties by path."""
+    out = findings.groupBy("file").agg(F.sum(risk_points(F.col("severity"), F.col("taint_reachable"))).cast("bigint").alias("risk"), F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("severity")), ",").alias("severities"))
     return out if top is None else out.orderBy(F.desc("risk"), "file").limit(top)
 
 
+def summary(now: DataFrame, before: DataFrame) -> DataFrame:
+    """One row: findings, files, reachable and false-positive findings of a run, and what is new and gone since the run before."""
+    counts = now.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("n_files"), F.count_if(F.coalesce("taint_reachable", F.lit(False))).alias("n_reachable"), F.count_if(F.coalesce("status", F.lit("")) == "false_positive").alias("n_false"))
+    new = now.join(before.select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("n_new"))
+    gone = before.join(now.select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("n_gone"))
+    one = lambda df: df.withColumn("_k", F.lit(1))  # noqa: E731 - one row each
+    return one(counts).join(one(new), "_k").join(one(gone), "_k").drop("_k")
+
+
 def owasp_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy(F.split_part("owasp", F.lit(":"), F.lit(1)).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -180,6 +192,6 @@ def display(findings: DataFrame, *, severity: str = "medium", language: str = ""
     return out.orderBy(lookup(F.col("severity"), SEVERITY_RANK, 9), "file", "line", "id").limit(min(500, max_results))
 
 
-def scan(files: DataFrame, *, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(files: DataFrame, *, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """Files (``path, content``) to findings."""
     return findings_of(rule_hits(scannable(files), rules), rules_table(files.sparkSession, rules))

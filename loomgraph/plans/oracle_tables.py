@@ -45,7 +45,7 @@ b AS (SELECT id, 0 AS hop FROM top UNION SELECT e.src, b.hop + 1 FROM b JOIN edg
 SELECT b.id, CAST(min(hop) AS INTEGER) AS hop FROM b JOIN ent ON ent.id = b.id AND ent.status <> 'deleted' GROUP BY b.id HAVING min(hop) > 0""",
     "name_index": f"WITH {_ENT} SELECT {_KEY.format('name')} AS name_key, count(DISTINCT repo) AS n_repos, count(*) AS n FROM ent WHERE status <> 'deleted' GROUP BY 1",
     "stub_matches": f"""WITH {_ENT}, act AS (SELECT {_KEY.format('name')} AS k, min(id) AS entity_id FROM ent WHERE status = 'active' GROUP BY 1),
-st AS (SELECT id, name FROM ent WHERE status = 'stub'),
+st AS (SELECT id, name FROM ent WHERE status = 'stub' UNION ALL SELECT 'stub of ' || id, 'pkg.' || name FROM ent WHERE status = 'active'),
 w AS (SELECT id, 0 AS tier, replace(name, '.', '/') || '.py' AS w FROM st WHERE contains(name, '.') AND NOT contains(name, '/') UNION ALL SELECT id, 1, name FROM st
 UNION ALL SELECT id, 2, string_split(name, '.')[-1] FROM st WHERE len(string_split(name, '.')) = 2 AND regexp_matches(string_split(name, '.')[-1], '^[A-Z]'))
 SELECT w.id AS stub_id, min_by(act.entity_id, tier) AS entity_id FROM w JOIN act ON act.k = {_KEY.format('w.w')} GROUP BY w.id""",
@@ -65,7 +65,7 @@ base AS (SELECT name_key, min(name) AS name FROM k WHERE type = 'module' GROUP B
 SELECT 'ws_' || substr(sha256(coalesce(b.name_key, o.name_key)), 1, 16) AS id, coalesce(b.name_key, o.name_key) AS name_key, CASE WHEN b.name_key IS NULL THEN 1 WHEN o.name_key IS NULL THEN 1 ELSE 2 END AS version FROM base b FULL JOIN one o ON b.name_key = o.name_key""",
     "severity_counts": f"WITH {_FND} SELECT severity, count(*) AS n, count(*) FILTER (reach) AS n_reachable FROM fnd GROUP BY severity",
     "owasp_counts": f"WITH {_FND} SELECT split_part(owasp, ':', 1) AS category, count(*) AS n FROM fnd GROUP BY 1",
-    "file_risk": f"WITH {_FND} SELECT file, CAST(sum({_PTS}) AS BIGINT) AS risk, count(*) AS n FROM fnd GROUP BY file ORDER BY risk DESC, file LIMIT 5",
+    "file_risk": f"WITH {_FND} SELECT file, CAST(sum({_PTS}) AS BIGINT) AS risk, count(*) AS n, array_to_string(list_sort(list(DISTINCT severity)), ',') AS severities FROM fnd GROUP BY file ORDER BY risk DESC, file LIMIT 5",
     "risk_level": f"WITH {_FND} SELECT coalesce(['critical', 'high', 'medium', 'low'][min(CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 END)], 'none') AS level FROM fnd",
     "finding_ids": "SELECT DISTINCT file, lower(trim(pattern_id)) AS pattern_id, substr(sha256(file || ':' || lower(trim(pattern_id)) || ':' || substr(trim(snippet), 1, 120)), 1, 8) AS stable_id FROM findings",
     "finding_paths": f"""WITH f AS (SELECT DISTINCT file FROM findings), s AS (SELECT file, {_FSTEM} AS stem, {_FPARTS} AS parts FROM f)

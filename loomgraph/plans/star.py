@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import name_key
+from loomgraph.functions.vocab import OUTBOUND_KINDS
 from loomgraph.operators import graph, search
 from loomgraph.session import table
 
@@ -112,8 +113,11 @@ def find_callers_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def callees_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir).filter("type = 'supplier'").select("id")
-    return search.callees(n, edges(spark, sf_dir)).select("id", "callee", "via")
+    """Of the first twelve relations of each order, by kind and target, those of an outbound kind."""
+    e = edges(spark, sf_dir).filter("src like 'O:%'")
+    e = e.withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy("kind", "dst")) - 1)
+    n = nodes(spark, sf_dir).filter("type = 'order'").select("id")
+    return search.callees(n, e).select("id", "callee", "via")
 
 
 def context_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +137,7 @@ _NODES = " UNION ALL ".join(
     for t, (p, k, n, s) in NODE_TABLES.items()
 )
 _EDGES = " UNION ".join(f"SELECT '{a}:' || {x} AS src, '{k}' AS kind, '{b}:' || {y} AS dst FROM {t}" for t, k, a, x, b, y in EDGE_TABLES)
+_OUT = ", ".join(f"'{k}'" for k in OUTBOUND_KINDS)
 _HEAD = f"node AS ({_NODES}), edge AS ({_EDGES})"
 
 
@@ -160,7 +165,7 @@ t AS (SELECT p_partkey, CASE WHEN lower(p_name) = w THEN 0 WHEN lower(p_name) LI
 SELECT 'P:' || p_partkey AS id, tier FROM t WHERE tier IS NOT NULL ORDER BY tier, p_partkey LIMIT 20""",
     "find_callers_topk": """WITH r AS (SELECT 'C:' || o_custkey AS id, 'O:' || o_orderkey AS caller, row_number() OVER (PARTITION BY o_custkey ORDER BY 'O:' || o_orderkey) AS rank FROM orders JOIN customer ON c_custkey = o_custkey)
 SELECT id, caller, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 15""",
-    "callees_orders": "SELECT 'S:' || s_suppkey AS id, 'N:' || s_nationkey AS callee, 'depends_on' AS via FROM supplier",
+    "callees_orders": f"WITH {_HEAD}, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY kind, dst) AS n FROM edge WHERE src LIKE 'O:%') SELECT src AS id, dst AS callee, kind AS via FROM r WHERE n <= 12 AND kind IN ({_OUT})",
     "context_parts": "WITH s AS (SELECT p_partkey, "
     + " + ".join(
         f"CASE WHEN lower(p_name) = '{t}' THEN 20 WHEN contains(lower(p_name), '{t}') THEN 14 ELSE 0 END + CASE WHEN contains(lower(p_brand || ' ' || p_type), '{t}') THEN 8 ELSE 0 END"

@@ -72,8 +72,10 @@ def name_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stub_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Active entities that stubs stand for, by name in any repo."""
-    return maintain.resolve_stubs(current_entities(spark, sf_dir))
+    """Active entities that stubs stand for, by name in any repo; each class also has a stub of its dotted name."""
+    e = current_entities(spark, sf_dir).select("id", "name", "status")
+    dotted = e.filter("status = 'active'").select(F.concat(F.lit("stub of "), "id").alias("id"), F.concat(F.lit("pkg."), "name").alias("name"), F.lit("stub").alias("status"))
+    return maintain.resolve_stubs(e.unionByName(dotted))
 
 
 def rewired_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ A traversal is a bounded loop on the driver over frontier joins; each hop is
 staged on shared storage, so plans stay flat and an executor may be lost.  The
 frontier is deduplicated before it meets the edges again, and joins are left to
 the optimizer, which sees the staged sizes: a small frontier is broadcast, a
-large one shuffled.
+large one shuffled.  Edges are read once a hop, filters and columns pushed into
+the scan: they should be a stored table, or staged by the caller.  Whether a node
+exists is asked of the nodes met, never of all edges.
 """
 
 from __future__ import annotations
@@ -50,8 +52,8 @@ class Search:
 
     COLUMNS = ("id", "hop", "parent", "label", "via")
 
-    def __init__(self, start: DataFrame, avoid: DataFrame | None = None) -> None:
-        self.avoid = avoid  # ids that are never met
+    def __init__(self, start: DataFrame, avoid: DataFrame | None = None, nodes: DataFrame | None = None) -> None:
+        self.avoid, self.nodes = avoid, nodes  # ids that are never met, and the only ones that are
         none = F.lit(None).cast("string")
         self.frontier = stage(start.select(F.col("id"), F.lit(0).alias("hop"), none.alias("parent"), none.alias("label"), F.lit("").alias("via")).distinct(), "bfs")
         self.parts, self.hop, self.size = [self.frontier], 0, self.frontier.count()
@@ -66,6 +68,8 @@ class Search:
         met = step.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("src", "pos", "label", "_via")).alias("f"))
         if self.avoid is not None:
             met = met.join(self.avoid, "id", "left_anti")
+        if self.nodes is not None:
+            met = met.join(self.nodes.select("id"), "id")
         via = F.when(F.col("f._via") == "", F.col("f.label")).otherwise(F.concat_ws(" -> ", "f._via", "f.label"))
         new = met.join(self.seen().select("id"), "id", "left_anti").select("id", F.lit(self.hop).alias("hop"), F.col("f.src").alias("parent"), F.col("f.label").alias("label"), via.alias("via"))
         self.frontier = stage(new, f"bfs-{self.hop}")
@@ -83,10 +87,10 @@ class Search:
         return out
 
 
-def expand(start: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """``id, hop, parent, label, via`` of all nodes within ``hops`` of the ids of ``start``; cycles and self loops end at nodes already met."""
-    held = stage(edges.select("src", "dst", "label", F.col("pos").cast("bigint").alias("pos")), "bfs-edges")
-    search = Search(start)
+def expand(start: DataFrame, edges: DataFrame, hops: int, nodes: DataFrame | None = None) -> DataFrame:
+    """``id, hop, parent, label, via`` of all nodes (of ``nodes``, if given) within ``hops`` of the ids of ``start``; cycles and self loops end at nodes already met."""
+    held = edges.select("src", "dst", "label", F.col("pos").cast("bigint").alias("pos"))
+    search = Search(start, nodes=nodes)
     for _ in range(hops):
         search.grow(held)
         if not search.size:
@@ -123,12 +127,11 @@ def skip_nodes(entities: DataFrame, edges: DataFrame, keep: list[str]) -> DataFr
     return odd.union(hubs(edges).select("id")).distinct().filter(~F.col("id").isin(keep))
 
 
-def _both_ways(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges in both directions, reverse ones marked with "<" and behind forward ones; ends must exist."""
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """Edges in both directions, reverse ones marked with "<" and behind forward ones."""
     kind = F.coalesce("kind", F.lit("related_to")).alias("label")
-    known = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
     turns = F.array(F.struct(F.col("src").alias("src"), F.col("dst").alias("dst"), kind, F.col("pos").cast("bigint").alias("pos")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.concat(F.lit("<"), kind).alias("label"), (F.col("pos") + (1 << 31)).alias("pos")))
-    return known.select(F.inline(turns))
+    return edges.select(F.inline(turns))
 
 
 def shortest_path(entities: DataFrame, edges: DataFrame, start: str, end: str, *, max_hops: int = 6) -> DataFrame:
@@ -149,26 +152,26 @@ def shortest_path(entities: DataFrame, edges: DataFrame, start: str, end: str, *
         return spark.createDataFrame([(0, a, None, None, "semantic")], schema)
     live = entities.filter("status != 'deleted'").select("id", "name", "file_path")
     skip = stage(skip_nodes(live, edges, [a, b]), "path-skip")
-    ways = stage(_both_ways(edges, live), "path-edges")
-    semantic = ways.filter(F.ltrim(F.col("label"), F.lit("<")).isin(SEMANTIC_KINDS))
+    semantic, ways = _both_ways(edges.filter(F.col("kind").isin(SEMANTIC_KINDS))), _both_ways(edges)
+    nodes = live.select("id")
     some = not skip.isEmpty()
     tries = [(semantic, skip, "semantic", some), (semantic, None, "semantic", True), (ways, skip, "structural", some), (ways, None, "structural", True)]
     for use, avoid, name, wanted in tries:
-        found = _meet(use, avoid, a, b, max_hops) if wanted else None
+        found = _meet(use, avoid, nodes, a, b, max_hops) if wanted else None
         if found:
             rows = [(i, node, label and label.lstrip("<"), label.startswith("<") if label else None, name) for i, (node, label) in enumerate(found)]
             return spark.createDataFrame(rows, schema)
     return spark.createDataFrame([], schema)
 
 
-def _meet(ways: DataFrame, avoid: DataFrame | None, a: str, b: str, max_hops: int) -> list[tuple[str, str | None]] | None:
+def _meet(ways: DataFrame, avoid: DataFrame | None, nodes: DataFrame, a: str, b: str, max_hops: int) -> list[tuple[str, str | None]] | None:
     """(node, label of the step to it) along a shortest path; None if there is none.
 
     Both ends search, the one with the smaller frontier going on, so a search
     that must fail ends as soon as either end is exhausted.
     """
     spark = ways.sparkSession
-    ahead, behind = (Search(spark.createDataFrame([(x,)], "id string"), avoid) for x in (a, b))
+    ahead, behind = (Search(spark.createDataFrame([(x,)], "id string"), avoid, nodes) for x in (a, b))
     for _ in range(max_hops):
         side, other = (ahead, behind) if ahead.size <= behind.size else (behind, ahead)
         side.grow(ways)
@@ -193,15 +196,14 @@ def neighborhood(entities: DataFrame, edges: DataFrame, center: str, *, depth: i
     depth = max(1, min(4, depth))
     use = edges.filter(F.col("kind").isin(kinds or OUTBOUND_KINDS))
     live = entities.filter("status != 'deleted'").select("id")
-    known = use.join(live.select(F.col("id").alias("src")), "src", "left_semi").join(live.select(F.col("id").alias("dst")), "dst", "left_semi")
-    out = known.select("src", "dst", F.col("kind").alias("label"), F.col("pos").cast("bigint").alias("pos"))
-    back = known.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("kind").alias("label"), (F.col("pos") + (1 << 31)).alias("pos"))
+    out = use.select("src", "dst", F.col("kind").alias("label"), F.col("pos").cast("bigint").alias("pos"))
+    back = use.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("kind").alias("label"), (F.col("pos") + (1 << 31)).alias("pos"))
     ways = {"out": out, "in": back, "both": out.union(back)}[direction]
-    nodes = expand(resolve(entities, center).select("id"), ways, depth).select("id", "hop")
+    nodes = expand(resolve(entities, center).select("id"), ways, depth, live).select("id", "hop")
     if max_nodes is not None:
         nodes = nodes.orderBy("hop", "id").limit(max(5, min(150, max_nodes)))
     ids = stage(nodes.select("id", "hop"), "neighborhood")
-    inner = known.select("src", "dst", "kind").distinct().join(ids.select(F.col("id").alias("src"), F.col("hop").alias("h1")), "src").join(ids.select(F.col("id").alias("dst"), F.col("hop").alias("h2")), "dst")
+    inner = use.select("src", "dst", "kind").distinct().join(ids.select(F.col("id").alias("src"), F.col("hop").alias("h1")), "src").join(ids.select(F.col("id").alias("dst"), F.col("hop").alias("h2")), "dst")
     # an edge is met when one of its ends is expanded in its direction
     met = {"out": F.col("h1") < depth, "in": F.col("h2") < depth, "both": F.least("h1", "h2") < depth}[direction]
     return ids, inner.filter(met).select("src", "dst", "kind")

@@ -48,33 +48,39 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, *, unique: bool = True) -> DataFrame:
+    """All edges; a traversal meets a node once however often it is told to, so it can do without ``unique``."""
     parts = [table(spark, sf_dir, t).select(_id(a, x).alias("src"), F.lit(k).alias("kind"), _id(b, y).alias("dst")) for t, k, a, x, b, y in EDGE_TABLES]
     # one edge per (source, kind, target): only lineitem repeats
-    unique = [p.distinct() if t[0] == "lineitem" else p for p, t in zip(parts, EDGE_TABLES)]
-    return reduce(DataFrame.unionByName, unique).withColumn("pos", F.lit(0)).withColumn("note", F.lit(None).cast("string"))
+    parts = [p.distinct() if unique and t[0] == "lineitem" else p for p, t in zip(parts, EDGE_TABLES)]
+    return reduce(DataFrame.unionByName, parts).withColumn("pos", F.lit(0)).withColumn("note", F.lit(None).cast("string"))
 
 
 
 
 def impact_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that depends on a region, part_of counting as dependence."""
-    e = edges(spark, sf_dir).withColumn("kind", F.when(F.col("kind") == "part_of", "depends_on").otherwise(F.col("kind")))
+    e = edges(spark, sf_dir, unique=False).withColumn("kind", F.when(F.col("kind") == "part_of", "depends_on").otherwise(F.col("kind")))
     return graph.impact(nodes(spark, sf_dir), e, "R:0", depth=4).select("id", "hop")
 
 
 def impact_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.impact(nodes(spark, sf_dir), edges(spark, sf_dir), "P:7", depth=2, kinds=["uses"], strict_depth=True).select("id", "hop", "via")
+    return graph.impact(nodes(spark, sf_dir), edges(spark, sf_dir, unique=False), "P:7", depth=2, kinds=["uses"], strict_depth=True).select("id", "hop", "via")
 
 
 def path_customer_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length of a shortest path, structural edges allowed."""
-    found = graph.shortest_path(nodes(spark, sf_dir), edges(spark, sf_dir), "C:0", "S:5")
-    return found.agg(F.max("step").alias("length"), F.first("path_type").alias("path_type"))
+    """Length of a shortest path, structural edges allowed, and whether each of its steps is an edge."""
+    found = graph.shortest_path(nodes(spark, sf_dir), edges(spark, sf_dir, unique=False), "C:0", "S:5")
+    steps = found.alias("a").join(found.alias("b"), F.col("b.step") == F.col("a.step") + 1)
+    turned = F.col("b.reverse")
+    steps = steps.select(F.when(turned, F.col("b.id")).otherwise(F.col("a.id")).alias("src"), F.col("b.relation").alias("kind"), F.when(turned, F.col("a.id")).otherwise(F.col("b.id")).alias("dst"))
+    real = steps.join(edges(spark, sf_dir, unique=False).select("src", "kind", "dst"), ["src", "kind", "dst"], "left_semi").agg(F.count(F.lit(1)).alias("n_edges"))
+    length = found.agg(F.max("step").alias("length"), F.first("path_type").alias("path_type"), F.min_by("id", "step").alias("first_id"), F.max_by("id", "step").alias("last_id"))
+    return length.withColumn("_k", F.lit(1)).join(real.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 def neighborhood_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids, _ = graph.neighborhood(nodes(spark, sf_dir), edges(spark, sf_dir), "N:3", depth=2, direction="in", kinds=["depends_on", "calls"], max_nodes=None)
+    ids, _ = graph.neighborhood(nodes(spark, sf_dir), edges(spark, sf_dir, unique=False), "N:3", depth=2, direction="in", kinds=["depends_on", "calls"], max_nodes=None)
     return ids.select("id", "hop")
 
 
@@ -151,7 +157,7 @@ ORACLES = {
     "path_customer_supplier": f"""WITH RECURSIVE {_HEAD}, u AS MATERIALIZED (SELECT src AS a, dst AS b, kind FROM edge UNION ALL SELECT dst, src, kind FROM edge),
 w AS (SELECT 'C:0' AS id, 0 AS hop UNION SELECT u.b, w.hop + 1 FROM w JOIN u ON u.a = w.id WHERE w.hop < 6 AND u.kind IN ('calls', 'uses')),
 x AS (SELECT 'C:0' AS id, 0 AS hop UNION SELECT u.b, x.hop + 1 FROM x JOIN u ON u.a = x.id WHERE x.hop < 4)
-SELECT CAST(coalesce(s, t) AS INTEGER) AS length, CASE WHEN s IS NULL THEN 'structural' ELSE 'semantic' END AS path_type
+SELECT CAST(coalesce(s, t) AS INTEGER) AS length, CASE WHEN s IS NULL THEN 'structural' ELSE 'semantic' END AS path_type, 'C:0' AS first_id, 'S:5' AS last_id, CAST(coalesce(s, t) AS BIGINT) AS n_edges
 FROM (SELECT (SELECT min(hop) FROM w WHERE id = 'S:5') AS s, (SELECT min(hop) FROM x WHERE id = 'S:5') AS t)""",
     "neighborhood_nation": _bfs("N:3", "e.src", 2).replace(", b AS", ", e AS MATERIALIZED (SELECT * FROM edge WHERE kind IN ('depends_on', 'calls')), b AS", 1) + " SELECT id, CAST(min(hop) AS INTEGER) AS hop FROM b GROUP BY id",
     "diagram_region": """WITH a AS (SELECT 'nR1' AS k, r_name AS n FROM region WHERE r_regionkey = 1 UNION ALL SELECT 'nN' || n_nationkey, n_name FROM nation WHERE n_regionkey = 1)

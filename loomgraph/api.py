@@ -6,7 +6,9 @@ Every function returns a DataFrame (``text`` renders a small one); only
 
 from __future__ import annotations
 
+import inspect
 import json
+import re
 import sys
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -20,6 +22,7 @@ from loomgraph.operators import build, graph, maintain, search, security
 from loomgraph.operators.extract import extract
 from loomgraph.session import stage
 from loomgraph.sources import files as source_files
+from loomgraph.sources.registry import BackgroundRun
 from loomgraph.sources.store import GraphStore
 
 
@@ -95,7 +98,8 @@ class Engine:
         return self._slim(graph.shortest_path(self.entities, self.edges, from_entity, to_entity, max_hops=max_hops), True).orderBy("step")
 
     def orphans(self, types: list[str] | None = None, include_modules: bool = False, max_results: int = 100) -> DataFrame:
-        return graph.orphans(self.entities, self.edges, types=types, include_modules=include_modules).orderBy("type", "name", "id").limit(_clamp(max_results, 1, 200))
+        """Unreferenced entities by type and name, each with the total before the limit."""
+        return graph.orphan_page(graph.orphans(self.entities, self.edges, types=types, include_modules=include_modules), _clamp(max_results, 1, 200)).orderBy("type", "name", "id")
 
     def visualize(self, entity: str, depth: int = 2, direction: str = "both", relations: list[str] | None = None, format: str = "mermaid", max_nodes: int = 40) -> DataFrame:
         ids, inner = graph.neighborhood(self.entities, self.edges, entity, depth=depth, direction=direction, kinds=relations, max_nodes=max_nodes)
@@ -193,6 +197,19 @@ class Engine:
             **{k: kinds.get(k, 0) for k in ("new", "modified", "deleted")}, **{f"entities_{r['status']}": r["n"] for r in graph_now}, "relations": self.edges.count(), "version": self.store.version(),
         }
 
+    def preview(self, project_root: str) -> DataFrame:
+        """Suffixes of a tree, the most frequent first."""
+        return source_files.preview(source_files.listing(self.spark, project_root))
+
+    def cleanup(self, project_root: str) -> DataFrame:
+        """Retire the entities of files that are gone from the tree; returns them."""
+        manifest = self.store.load("manifest")
+        gone = stage(maintain.retired_files(manifest, source_files.listing(self.spark, project_root)).filter("id is not null"), "gone")
+        if not gone.isEmpty():
+            touched = self.entities.join(gone.select("id").distinct(), "id", "left_semi").select(*self.entities.columns)
+            self.store.publish({"manifest": manifest.join(gone.select("path").distinct(), "path", "left_anti")}, patches={"entities": maintain.retire(touched, gone.select("id"), _now(), "file removed")})
+        return gone
+
     def security(self, project_root: str, severity: str = "medium", language: str = "", owasp: str = "", file: str = "", max_results: int = 50, include_false_positives: bool = False) -> DataFrame:
         listed = source_files.listing(self.spark, project_root)
         found = security.scan(source_files.read_texts(security.scannable(listed)))
@@ -213,6 +230,83 @@ def _now():
 TOOLS = ("context", "impact", "path", "find", "orphans", "visualize", "contribute", "stats", "delta", "scan", "security", "security_triage")
 
 
+_KINDS = {"str": "string", "int": "integer", "bool": "boolean", "dict": "object", "list": "array"}
+
+
+def input_schema(tool: str) -> dict:
+    """JSON schema of a tool's arguments, from its signature."""
+    out: dict = {"type": "object", "properties": {}, "required": []}
+    for name, p in list(inspect.signature(getattr(Engine, tool)).parameters.items())[1:]:
+        kind = _KINDS[re.match(r"\w+", str(p.annotation)).group()]
+        out["properties"][name] = {"type": kind}
+        if p.default is inspect.Parameter.empty:
+            out["required"].append(name)
+        elif p.default is not None:
+            out["properties"][name]["default"] = list(p.default) if isinstance(p.default, tuple) else p.default
+    return out
+
+
+# Methods and paths of the service; each names the tool that answers.
+ROUTES = {
+    ("POST", "/preview"): "preview", ("POST", "/scan"): "scan", ("GET", "/scan/status"): "scan_status", ("POST", "/scan/cancel"): "scan_cancel", ("GET", "/stats"): "stats", ("GET", "/query/cache"): "cache",
+    ("POST", "/query/impact"): "impact", ("POST", "/query/context"): "context", ("POST", "/query/path"): "path", ("POST", "/query/find"): "find", ("POST", "/query/orphans"): "orphans", ("POST", "/query/visualize"): "visualize",
+    ("POST", "/security/scan"): "security", ("POST", "/security/triage"): "security_triage", ("POST", "/delta"): "delta", ("POST", "/cleanup"): "cleanup", ("GET", "/mcp/tools"): "tools", ("POST", "/contribute"): "contribute",
+}
+
+
+def route(engine: Engine, method: str, path: str, body: dict) -> tuple[int, dict]:
+    """Status and JSON answer of a request: rows of the tool's result, at most 500."""
+    if path in ("/", "/health"):
+        return 200, {"status": "ok"}
+    name = ROUTES.get((method, path.rstrip("/")))
+    if name is None:
+        return 404, {"error": f"no such route: {method} {path}"}
+    if name == "tools":
+        return 200, {"tools": [{"name": t, "inputSchema": input_schema(t)} for t in TOOLS]}
+    if name == "cache":
+        return 200, {"version": engine.store.version()}
+    run = engine.__dict__.get("running")
+    if name == "scan_status":
+        return 200, {**(run.status() if run else {"state": "idle"}), "counters": engine.counters}
+    if name == "scan_cancel":
+        if run:
+            run.cancel()
+        return 200, {"cancelled": run is not None}
+    try:
+        if name == "scan" and body.pop("background", False):
+            if run and run.status()["state"] == "running":
+                return 409, {"error": "a scan is running"}
+            engine.running = BackgroundRun(engine.spark, lambda: engine.scan(**body), "scan")
+            return 202, {"state": "running"}
+        found = getattr(engine, name)(**body)
+    except (TypeError, ValueError) as ex:
+        return 400, {"error": str(ex)}
+    return 200, {"rows": [json.loads(r) for r in found.limit(500).toJSON().collect()] if found is not None else []}
+
+
+def serve_http(engine: Engine, port: int = 8787) -> None:
+    """A small server over ``route``; it ends with the process."""
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def _answer(self) -> None:
+            size = int(self.headers.get("Content-Length") or 0)
+            try:
+                status, out = route(engine, self.command, self.path.split("?")[0], json.loads(self.rfile.read(size) or b"{}"))
+            except json.JSONDecodeError as ex:
+                status, out = 400, {"error": str(ex)}
+            data = json.dumps(out).encode()
+            self.send_response(status)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        do_GET = do_POST = _answer  # noqa: N815
+
+    ThreadingHTTPServer(("127.0.0.1", port), Handler).serve_forever()
+
+
 def text(df: DataFrame, limit: int = 200) -> str:
     """Plain text of a small result."""
     rows = df.limit(limit).toPandas()
@@ -230,7 +324,7 @@ def handle(engine: Engine, message: dict) -> dict | None:
     if method == "ping":
         return answer | {"result": {}}
     if method == "tools/list":
-        return answer | {"result": {"tools": [{"name": t, "description": (getattr(Engine, t).__doc__ or t).strip(), "inputSchema": {"type": "object"}} for t in TOOLS]}}
+        return answer | {"result": {"tools": [{"name": t, "description": (getattr(Engine, t).__doc__ or t).strip(), "inputSchema": input_schema(t)} for t in TOOLS]}}
     if method == "tools/call":
         if params.get("name") not in TOOLS:
             return answer | {"error": {"code": -32601, "message": f"unknown tool: {params.get('name')}"}}

@@ -3,13 +3,40 @@
 from __future__ import annotations
 
 import ast
+import builtins
 import re
+import typing
 import warnings
 
 from loomgraph.operators.extract.common import definition, reference, unique
 
 _FACTORY = re.compile(r"^(?:get|create|build|make|load|init|setup)_([a-z0-9_]+)$")
 _MAX_ARGS = 6
+_UPPER = re.compile(r"\b[A-Z]\w*")
+# Names of the standard library and of common frameworks that are no classes of a project.
+_KNOWN = (
+    "cast dataclass dataclasses abstractmethod auto field "
+    "Path PurePath PosixPath WindowsPath datetime date time timedelta timezone deque defaultdict OrderedDict Counter ChainMap "
+    "Thread Lock RLock Event Condition Semaphore Queue PriorityQueue LifoQueue Enum IntEnum StrEnum Flag IntFlag ABC ABCMeta StringIO BytesIO TextIOWrapper Pattern Match UUID Decimal Fraction "
+    "BaseModel BaseSettings Field validator root_validator model_validator field_validator ConfigDict "
+    "FastAPI APIRouter Request Response JSONResponse HTMLResponse StreamingResponse FileResponse RedirectResponse HTTPException WebSocket BackgroundTasks Depends Body Query Header Cookie Form File UploadFile status "
+    "asyncio Task Future gather sleep create_task get_event_loop run wait wait_for shield timeout "
+    "Logger LogRecord Formatter Handler StreamHandler NullHandler FileHandler json os sys re math random copy functools"
+).split()
+# what Python itself defines needs no list
+IGNORED = frozenset(n for n in dir(builtins) if not n.startswith("_")) | frozenset(typing.__all__) | frozenset(_KNOWN)
+
+
+def _annotations(node: ast.FunctionDef | ast.AsyncFunctionDef) -> list[str]:
+    """Capitalised words of a function's annotations, quoted ones too."""
+    a = node.args
+    found = [x.annotation for x in [*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg] if x is not None] + [node.returns]
+    return [w for x in found if x is not None for w in _UPPER.findall(ast.unparse(x))]
+
+
+def _kept(found: list[tuple[str, str, str]], own: str = "") -> list[tuple[str, str, str]]:
+    """Calls of what a project may define, but for the class itself."""
+    return [(k, t, v) for k, t, v in found if t != own and t.partition("::")[0] not in IGNORED]
 
 
 def _dotted(node: ast.AST) -> str:
@@ -84,11 +111,12 @@ def extract(path: str, text: str) -> tuple[list[dict], list[dict]]:
             refs.append(reference(path, "", "import", module, ",".join(a.name for a in node.names), node.level, node.level > 0))
 
     def function(node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
-        defs.append(definition(path, "function", node.name, node.lineno, node.end_lineno or node.lineno, signature=_signature(node), is_async=isinstance(node, ast.AsyncFunctionDef), decorators=[_dotted(d) for d in node.decorator_list], docstring=(ast.get_docstring(node) or "")[:300]))
+        defs.append(definition(path, "function", node.name, node.lineno, node.end_lineno or node.lineno, signature=_signature(node), is_async=isinstance(node, ast.AsyncFunctionDef), decorators=[_dotted(d) for d in node.decorator_list], docstring=(ast.get_docstring(node) or "")[:200]))
         calls = _Calls("", {})
         for child in node.body:
             calls.visit(child)
-        refs.extend(reference(path, node.name, k, t, v) for k, t, v in calls.found)
+        calls.found += [("call", w, "") for w in _annotations(node)]
+        refs.extend(reference(path, node.name, k, t, v) for k, t, v in _kept(calls.found))
 
     def klass(node: ast.ClassDef) -> None:
         methods = [m for m in node.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))]
@@ -106,7 +134,8 @@ def extract(path: str, text: str) -> tuple[list[dict], list[dict]]:
             calls = _Calls(m.name, attributes)
             for child in m.body:
                 calls.visit(child)
-            refs.extend(reference(path, node.name, k, t, v) for k, t, v in calls.found if t != node.name)
+            calls.found += [("call", w, m.name) for w in _annotations(m)]
+            refs.extend(reference(path, node.name, k, t, v) for k, t, v in _kept(calls.found, node.name))
 
     def walk(nodes: list[ast.stmt], top: bool) -> None:
         for node in nodes:
@@ -128,7 +157,7 @@ def extract(path: str, text: str) -> tuple[list[dict], list[dict]]:
     for node in tree.body:
         if not isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef, ast.Import, ast.ImportFrom)):
             calls.visit(node)
-    refs.extend(reference(path, "", k, t, v) for k, t, v in calls.found)
-    doc = (ast.get_docstring(tree) or "")[:300]
+    refs.extend(reference(path, "", k, t, v) for k, t, v in _kept(calls.found))
+    doc = (ast.get_docstring(tree) or "")[:500]
     defs.insert(0, definition(path, "module", path, 1, text.count("\n") + 1, docstring=doc))
     return defs, unique(refs)

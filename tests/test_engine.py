@@ -65,6 +65,12 @@ def test_contribution_and_messages(spark, tmp_path):
     engine.contribute("a", {}, [{"target": "Elsewhere", "kind": "uses"}], "again")
     assert engine.edges.filter("kind = 'uses'").count() == 1 and engine.entities.filter("status = 'stub'").count() == 1
     call = lambda m, p=None, i=1: api.handle(engine, {"jsonrpc": "2.0", "id": i, "method": m, "params": p or {}})
+    tools = {t["name"]: t["inputSchema"] for t in call("tools/list")["result"]["tools"]}
+    assert tools["path"]["required"] == ["from_entity", "to_entity"] and tools["path"]["properties"]["max_hops"] == {"type": "integer", "default": 6} and tools["context"]["properties"]["entities"]["type"] == "array"
+    assert api.route(engine, "POST", "/query/impact", {"entity": "Elsewhere", "slim": True})[0] == 200 and api.route(engine, "GET", "/stats", {})[0] == 200
+    assert api.route(engine, "GET", "/nowhere", {})[0] == 404 and api.route(engine, "POST", "/query/impact", {})[0] == 400
+    assert api.route(engine, "GET", "/health", {})[1] == {"status": "ok"}
+    assert [r["ext"] for r in api.route(engine, "POST", "/preview", {"project_root": root})[1]["rows"]] == [".py"]
     assert len(call("tools/list")["result"]["tools"]) == 12 and call("ping")["result"] == {}
     assert "Elsewhere" in call("tools/call", {"name": "find", "arguments": {"name": "elsewhere"}})["result"]["content"][0]["text"]
     assert call("tools/call", {"name": "impact", "arguments": {}})["result"]["isError"]
@@ -201,6 +207,8 @@ def test_python_rules():
     assert defs[1]["methods"][0]["signature"] == "__init__(self, a, b, c, d, e, ...)"
     got = {(r["ref_kind"], r["target"], r["via"]) for r in refs}
     assert {("extends", "B", ""), ("call", "Client", "__init__"), ("method_call", "Client::send", "go"), ("call", "UserService", "go")} <= got
+    _, refs = python_ast.extract("b.py", "def f(a: Optional[Order], b: 'list[Part]') -> Path:\n    raise ValueError(Path(str(a)))\nclass C:\n    def m(self, d: Dict[str, Ledger]): return C, print(d)\n")
+    assert {(r["target"], r["via"]) for r in refs if r["ref_kind"] == "call"} == {("Order", ""), ("Part", ""), ("Ledger", "m")}
 
 
 def test_assets(spark):

@@ -145,7 +145,7 @@ def _update(vectors: DataFrame, h: np.ndarray, steps: int) -> tuple[np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(first * loss), pa.array(first * words), *[pa.array(total[i, some]) for i in range(k)]], names=names)
 
     sums = vectors.select("terms", "counts").mapInArrow(run, ", ".join(f"{n} {'int' if n == 't' else 'double'}" for n in names)).groupBy("t").agg(*[F.sum(n).alias(n) for n in names[1:]]).toArrow()  # at most n_columns rows
-    held.unpersist()
+    held.destroy()
     out = np.zeros(h.shape)
     for i in range(k):
         out[i, sums.column(0).to_numpy()] = sums.column(3 + i).to_numpy()

@@ -20,7 +20,7 @@ from loomgraph import schema
 from loomgraph.functions.text import name_key
 from loomgraph.operators import build, graph, maintain, search, security
 from loomgraph.operators.extract import extract
-from loomgraph.session import stage
+from loomgraph.session import scratch_scope, stage
 from loomgraph.sources import files as source_files
 from loomgraph.sources.registry import BackgroundRun
 from loomgraph.sources.store import GraphStore
@@ -278,10 +278,11 @@ def route(engine: Engine, method: str, path: str, body: dict) -> tuple[int, dict
                 return 409, {"error": "a scan is running"}
             engine.running = BackgroundRun(engine.spark, lambda: engine.scan(**body), "scan")
             return 202, {"state": "running"}
-        found = getattr(engine, name)(**body)
+        with scratch_scope(engine.spark):
+            found = getattr(engine, name)(**body)
+            return 200, {"rows": [json.loads(r) for r in found.limit(500).toJSON().collect()] if found is not None else []}
     except (TypeError, ValueError) as ex:
         return 400, {"error": str(ex)}
-    return 200, {"rows": [json.loads(r) for r in found.limit(500).toJSON().collect()] if found is not None else []}
 
 
 def serve_http(engine: Engine, port: int = 8787) -> None:
@@ -329,7 +330,8 @@ def handle(engine: Engine, message: dict) -> dict | None:
         if params.get("name") not in TOOLS:
             return answer | {"error": {"code": -32601, "message": f"unknown tool: {params.get('name')}"}}
         try:
-            body, bad = text(getattr(engine, params["name"])(**(params.get("arguments") or {}))), False
+            with scratch_scope(engine.spark):
+                body, bad = text(getattr(engine, params["name"])(**(params.get("arguments") or {}))), False
         except Exception as ex:  # noqa: BLE001 - a tool's failure is its result
             body, bad = f"{type(ex).__name__}: {ex}", True
         return answer | {"result": {"content": [{"type": "text", "text": body}], "isError": bad}}

@@ -122,3 +122,9 @@ def finding_id(path: Column, rule: Column, snippet: Column) -> Column:
 def entity_id(name: Column) -> Column:
     """Stable id of a name."""
     return F.concat(F.lit("ws_"), F.substring(F.sha2(name_key(name), 256), 1, 16))
+
+
+def byte_size(n: Column) -> Column:
+    """A number of bytes as text: whole bytes, else one decimal of KB, MB or GB."""
+    unit = lambda power, name: F.concat(F.format_number(n / F.lit(1024.0**power), 1), F.lit(f" {name}"))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, unit(1, "KB")).when(n < 1024**3, unit(2, "MB")).otherwise(unit(3, "GB"))

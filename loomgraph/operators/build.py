@@ -80,7 +80,8 @@ def build(parsed: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
     plain = F.regexp_extract("target", r"([^.:]+)$", 1)
     wanted = refs.filter(F.col("ref_kind").isin("extends", "call", "field")).select(source.alias("src"), F.element_at(F.create_map(F.lit("extends"), F.lit("extends"), F.lit("call"), F.lit("calls"), F.lit("field"), F.lit("uses")), F.col("ref_kind")).alias("kind"), plain.alias("name"), F.when(F.col("serialized"), F.lit("serialized")).alias("note"), F.col("via").alias("method"))
     wanted = wanted.filter(~F.col("name").isin(PLAIN_BASES) & ~F.col("name").rlike("^[A-Z0-9_]{2,}$")).withColumn("name_key", name_key(F.col("name")))
-    known = wanted.join(keys.select("name_key", "dst"), "name_key", "left")
+    # read twice: for stubs and for edges
+    known = stage(wanted.join(keys.select("name_key", "dst"), "name_key", "left"), "known")
     stub_names = known.filter("dst is null").filter((F.col("kind") == "extends") | F.col("name").rlike("^[A-Z]")).select("name_key", "name").unionByName(depends.select(name_key(F.col("name")).alias("name_key"), "name").join(keys.select("name_key"), "name_key", "left_anti"))
     stubs = stub_names.groupBy("name_key").agg(F.min("name").alias("name")).select(
         entity_id(F.col("name")).alias("id"), F.xxhash64("name_key").alias("seq"), F.lit("other").alias("type"), "name", "name_key", F.lit("stub").alias("status"), F.lit(1).alias("version"), F.lit("stub").alias("source"), F.lit("").alias("file_path"), at.alias("created"), at.alias("updated")

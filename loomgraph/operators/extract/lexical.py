@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 from loomgraph.operators.extract.common import definition, reference, unique
@@ -43,7 +44,7 @@ LANGUAGES: dict[str, Language] = {
         r"\bnew\s+(?P<target>[A-Z]\w*)",
     ),
     "kotlin": Language(
-        rf"\b(?:(?P<mod>abstract|data|sealed|open|enum)\s+)?(?P<kind>class|interface|object)\s+(?P<name>{_NAME}){_GENERIC}[^{{\n:]*(?::\s*(?P<bases>[^{{\n]+))?\{{?",
+        rf"\b(?:(?P<mod>abstract|data|sealed|open|enum)\s+)?(?P<kind>class|interface|object)\s+(?P<name>{_NAME}){_GENERIC}\s*(?:(?:(?:private|internal|protected)\s+)?constructor\s*)?(?:\([^)]*\))?[ \t]*(?::\s*(?P<bases>[^{{\n]+))?\{{?",
         rf"^(?:(?:public|private|internal|suspend|inline)\s+)*fun\s+(?:<[^>]+>\s*)?(?:[\w.<>]+\.)?(?P<name>{_NAME})\s*\(",
         rf"\bfun\s+(?:<[^>]+>\s*)?(?P<name>{_NAME})\s*\(",
         (r"^\s*import\s+(?P<target>[\w.]+)",),
@@ -116,17 +117,29 @@ def _blank(text: str, pattern: re.Pattern) -> str:
     return pattern.sub(lambda m: re.sub(r"[^\n\"'`]", " ", m.group()) if m.group()[0] in "\"'`" else re.sub(r"[^\n]", " ", m.group()), text)
 
 
-def _close(text: str, at: int) -> int:
-    depth = 0
-    for i in range(at, len(text)):
-        c = text[i]
-        if c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if depth == 0:
-                return i
-    return len(text) - 1
+class _Layout:
+    """Lines and matching braces of a text, found once."""
+
+    def __init__(self, code: str) -> None:
+        self.breaks = [m.start() for m in re.finditer("\n", code)]
+        self.ends: dict[int, int] = {}
+        self.last = len(code) - 1
+        open_: list[int] = []
+        self.opens = []
+        for m in re.finditer("[{}]", code):
+            if m.group() == "{":
+                open_.append(m.start())
+                self.opens.append(m.start())
+            elif open_:
+                self.ends[open_.pop()] = m.start()
+
+    def line(self, at: int) -> int:
+        return bisect_left(self.breaks, at) + 1
+
+    def close(self, at: int) -> int:
+        """Where the first block that opens from ``at`` on ends; the end of the text if it does not."""
+        i = bisect_left(self.opens, at)
+        return self.ends.get(self.opens[i], self.last) if i < len(self.opens) else self.last
 
 
 def _named(m: re.Match, group: str) -> str:
@@ -141,7 +154,8 @@ def extractor(language: str):
 
     def extract(path: str, text: str) -> tuple[list[dict], list[dict]]:
         code = _blank(text, blank)
-        line = lambda at: text.count("\n", 0, at) + 1
+        layout = _Layout(code)
+        line, close = layout.line, layout.close
         defs = [definition(path, "module", path, 1, line(len(text)))]
         refs, spans = [], []
         for rx in imports:
@@ -155,7 +169,7 @@ def extractor(language: str):
         for m in types.finditer(code):
             start = m.start("name")
             open_ = code.find("{", m.end() - 1) if spec.braces else -1
-            end = _close(code, open_) if open_ >= 0 and open_ - m.end() <= 1 else m.end()
+            end = close(open_) if open_ >= 0 and open_ - m.end() <= 1 else m.end()
             if not spec.braces:
                 # the block ends with the "end" at the indentation of its head
                 indent = re.match(r"\n?([ \t]*)", code[m.start() :]).group(1)
@@ -164,27 +178,33 @@ def extractor(language: str):
             bases = [re.sub(r"<.*", "", b).strip().rpartition(".")[2].rpartition("\\")[2] for b in re.split(r",|\bextends\b|\bimplements\b|\bwith\b", re.sub(r"\([^)]*\)|\b(?:public|private|protected|virtual)\b", "", m.group("bases") or ""))]
             bases = [b for b in bases if _WORD.fullmatch(b)]
             found = [x for x in methods.finditer(code, m.end(), end)] if end > m.end() else []
-            listed = [{"name": _named(x, "name"), "signature": f"{_named(x, 'name')}()", "line_start": line(x.start("name")), "line_end": line(_close(code, x.end() - 1)) if code[x.end() - 1 : x.end()] == "{" else line(x.end())} for x in found]
+            listed = [{"name": _named(x, "name"), "signature": f"{_named(x, 'name')}()", "line_start": line(x.start("name")), "line_end": line(close(x.end() - 1)) if code[x.end() - 1 : x.end()] == "{" else line(x.end())} for x in found]
             mod = (m.groupdict().get("mod") or "").strip()
             kind = mod or m.group("kind").strip()
             defs.append(definition(path, "class", m.group("name"), line(start), line(end), subkind="" if kind == "class" else kind, bases=bases, methods=listed))
             refs += [reference(path, m.group("name"), "extends", b) for b in bases]
-            spans.append((m.start(), end, m.group("name"), [(x.start(), _named(x, "name")) for x in found]))
+            spans.append((m.start(), end, m.group("name"), [(x.start("name"), _named(x, "name")) for x in found]))
         if language == "go":
             receivers = re.compile(r"^func\s+\(\s*\w*\s*\*?(\w+)[^)]*\)\s*(\w+)\s*\(", re.M)
             for m in receivers.finditer(code):
                 owner = next((d for d in defs if d["name"] == m.group(1)), None)
                 if owner:
-                    owner["methods"].append({"name": m.group(2), "signature": f"{m.group(2)}()", "line_start": line(m.start()), "line_end": line(_close(code, m.end()))})
+                    owner["methods"].append({"name": m.group(2), "signature": f"{m.group(2)}()", "line_start": line(m.start()), "line_end": line(close(m.end()))})
+        bodies, named_at = [], {x for _, _, _, found in spans for x, _ in found}
         for m in functions.finditer(code):
             name = _named(m, "name")
+            named_at.update(m.start(g) for g in m.groupdict() if g.startswith("name") and m[g])
             if any(a < m.start() < b for a, b, *_ in spans) or not name or (language in ("javascript", "typescript") and name.startswith("_")):
                 continue
-            defs.append(definition(path, "function", name.replace("self.", ""), line(m.start()), line(_close(code, code.find("{", m.end() - 1))) if spec.braces and code.find("{", m.end() - 1) >= 0 else line(m.end()), signature=f"{name}()"))
+            at = code.find("{", m.end() - 1) if spec.braces else -1
+            if at >= 0:
+                bodies.append((m.start(), close(at), name, []))
+            defs.append(definition(path, "function", name.replace("self.", ""), line(m.start()), line(close(code.find("{", m.end() - 1))) if spec.braces and code.find("{", m.end() - 1) >= 0 else line(m.end()), signature=f"{name}()"))
         for m in calls.finditer(code):
             target = _named(m, "target")
-            owner = next(((n, ms) for a, b, n, ms in spans if a < m.start() < b), ("", []))
-            if target and target not in IGNORED and target != owner[0]:
+            owner = next(((n, ms) for a, b, n, ms in spans + bodies if a < m.start() < b), ("", []))
+            # a definition's own name is no call of it
+            if target and target not in IGNORED and target != owner[0] and not any(m.start(g) in named_at for g in m.groupdict() if m[g]):
                 via = next((n for at, n in reversed(owner[1]) if at < m.start()), "")
                 refs.append(reference(path, owner[0], "call", target, via))
         if language == "csharp":

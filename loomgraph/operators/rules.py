@@ -87,6 +87,7 @@ def _r(*args, **more) -> Rule:
     return Rule(*args, **more)
 
 
+# Ids, severities, categories and expressions, by which the same code gives the same findings.
 RULES: tuple[Rule, ...] = (
     _r("js_sql_tpl_literal", "critical", "A03", "CWE-89", "js", r"\b(?:query|execute|run)\s*\(\s*`[^`]*\$\{", "Statement built by template"),
     _r("js_sql_concat", "critical", "A03", "CWE-89", "js", r"\b(?:query|execute|run)\s*\(\s*(?:\"[^\"\n]*\"|'[^'\n]*')\s*\+", "Statement built by concatenation"),

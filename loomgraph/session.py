@@ -12,11 +12,15 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_scope = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,13 +41,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; removed when the driver ends."""
+    """A fresh path below the shared folder; removed when its scope or the driver ends."""
     root = f"{shared_dir(spark)}/loomgraph-{spark.sparkContext.applicationId}"
     path = f"{root}/{label}-{uuid.uuid4().hex[:12]}"
-    atexit.register(remove, spark, path)
+    held = getattr(_scope, "paths", None)
+    if held is not None:
+        held.append(path)
+    else:
+        atexit.register(remove, spark, path)
     return path
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes what this thread stages within it: for services, whose driver does not end.
+
+    Results must be read inside; DataFrames over staged tables are dead after it.
+    """
+    before, _scope.paths = getattr(_scope, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _scope.paths:
+            remove(spark, path)
+        _scope.paths = before
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path; silently does nothing once the session is gone."""
     try:

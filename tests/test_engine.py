@@ -218,3 +218,25 @@ def test_assets(spark):
     defs, refs = assets.extract("a.prefab", f"%YAML 1.1\nm_Script: {{fileID: 1, guid: {guid}}}\nm_TargetAssemblyTypeName: Game.Door, Assembly\nm_MethodName: Open\n")
     assert defs[0]["subkind"] == "unity.prefab" and ("guid", guid.lower()) in {(r["ref_kind"], r["target"]) for r in refs} and ("method_call", "Door::Open") in {(r["ref_kind"], r["target"]) for r in refs}
     assert assets.extract("a.asset", "x: 1") == ([], [])
+
+
+def test_compact_summary_and_sizes(spark):
+    from loomgraph.functions.text import byte_size
+    from loomgraph.operators.extract.summary import compact_summary
+
+    source = '"""Carts.\\n\\nMore."""\nimport os\nimport money.rates\nclass Cart(Base):\n    def total(self): return Rate()\n' + "".join(f"def f{i}(x): pass\n" for i in range(14))
+    got = compact_summary("shop/cart.py", *python_ast.extract("shop/cart.py", source)).splitlines()
+    assert got[0] == "shop/cart.py: Carts." and got[1] == "class Cart(Base): total(self)" and got[2].endswith("f11(x) and 2 more") and got[3:] == ["imports: money", "uses: Rate"]
+    assert compact_summary("x.py", [], []) == "x.py"
+    sizes = spark.createDataFrame([(0,), (1023,), (1536,), (3 << 20,), (5 << 30,)], "n bigint")
+    assert [r[0] for r in sizes.select(byte_size(F.col("n"))).collect()] == ["0 B", "1023 B", "1.5 KB", "3.0 MB", "5.0 GB"]
+
+
+def test_staged_tables_go_with_their_scope(spark):
+    from loomgraph import session
+
+    with session.scratch_scope(spark):
+        df = session.stage(spark.range(5).toDF("n"), "scoped")
+        files = [f.removeprefix("file://").removeprefix("file:") for f in df.inputFiles()]
+        assert df.count() == 5 and all(os.path.exists(f) for f in files)
+    assert files and not any(os.path.exists(f) for f in files)

@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -29,15 +30,16 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import stage
 
-_TOKEN = re.compile(r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|[^\W\d][\w$]*|\$[\w$]*|\d[\w.]*|[^\w\s]|\n")
+# the most frequent first, with the blanks behind them: fast
+_TOKEN = re.compile(r"([a-zA-Z_][a-zA-Z0-9_$]*+[\w$]*+|\n|\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|[^\W\d][\w$]*|\$[\w$]*|\d[\w.]*|[^\w\s])[ \t]*+")
 # Literals stand beside comments, so that no comment starts within one; group 1 is what stays.  A regular expression
-# stands where no division can; `//` after a colon is an address in plain text.  All start with a fixed character: fast.
+# stands where no division can; `//` after a colon is an address in plain text.  The lookahead has the first characters of all: fast.
 _COMMENT = re.compile(
-    r"/\*.*?\*/|\"\"\".*?\"\"\"|^[ \t]*#[^\n]*"
+    r"(?=[/\"'`u# \t])(?:/\*.*?\*/|\"\"\".*?\"\"\"|^[ \t]*#[^\n]*"
     r"|(\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|```|`(?:[^`\\]++|\\.)*+`"
     r"|/(?![/*])(?:(?<=[(,=:\[!&|?{};+~>\n]/)|(?<=[(,=:\[!&|?{};+~>] /)|(?<=\breturn/)|(?<=\breturn /)|(?<=\bcase /)|(?<=\btypeof /))(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/"
     r"|url\([^()\"'\n]*\))"
-    r"|(?<![:/])//[^\n]*",
+    r"|(?<![:/])//[^\n]*)",
     re.S | re.M,
 )
 # words that are tokens of their own; all others are names
@@ -64,19 +66,29 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def _alternate(keys: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Positions of pairs that win against both neighbours; in a run of equal pairs every other one."""
-    n = len(keys)
+def _alternate(at: np.ndarray, keys: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the pairs at positions ``at`` win against both neighbours; in a run of equal pairs every other one.
+
+    Positions that are not given lose.
+    """
+    n = len(at)
+    beside = at[1:] == at[:-1] + 1
     start = np.ones(n, dtype=bool)
-    start[1:] = keys[1:] != keys[:-1]
+    start[1:] = ~beside | (keys[1:] != keys[:-1])
     first = np.flatnonzero(start)
-    run = np.cumsum(start) - 1
-    offset = np.arange(n) - first[run]
-    left = np.ones(len(first), dtype=bool)
-    left[1:] = rank[first[1:]] > rank[first[1:] - 1]
+    offset = np.arange(n) - np.repeat(first, np.diff(first, append=n))
+    left = np.ones(n, dtype=bool)
+    left[1:] = ~start[1:] | ~beside | (rank[1:] > rank[:-1])
     right = np.ones(n, dtype=bool)
-    right[:-1] = (rank[:-1] > rank[1:]) | ~start[1:]
-    return (offset % 2 == 0) & (left[run] | (offset > 0)) & right
+    right[:-1] = ~beside | (rank[:-1] > rank[1:]) | ~start[1:]
+    return (offset % 2 == 0) & left & right
+
+
+def _may_repeat(keys: np.ndarray) -> np.ndarray:
+    """False only for keys that occur once: those alone in their bucket, which need not be sorted."""
+    bits = min(20, (4 * len(keys)).bit_length())
+    bucket = (keys >> np.uint64(64 - bits)).view(np.int64)
+    return np.bincount(bucket)[bucket] > 1
 
 
 class Grammars(NamedTuple):
@@ -114,45 +126,49 @@ def repair(symbols: np.ndarray, files: np.ndarray, n_files: int, ends: np.ndarra
         breaks[:] += np.bincount(files[made], within[made] + after[made], n_files).astype(np.int64)
 
     while len(symbols) > 1:
-        at = np.flatnonzero(files[1:] == files[:-1])
-        pair = _mix(symbols[at], symbols[at + 1])
-        key = _mix(pair, files[at].astype(np.uint64))
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        count = count[inverse]
+        pairs = _mix(symbols[:-1], symbols[1:])
+        keys = _mix(pairs, files[:-1].astype(np.uint64))
+        at = np.flatnonzero((files[1:] == files[:-1]) & _may_repeat(keys))
+        key, of = keys[at], files[at]
+        order = np.argsort(key)
+        ordered, new = key[order], np.ones(len(at), dtype=bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        first = np.flatnonzero(new)
+        counts = np.append(first[1:], len(at))[: len(first)] - first
+        group, count = np.empty_like(order), np.empty_like(order)
+        group[order], count[order] = np.repeat(np.arange(len(first)), counts), np.repeat(counts, counts)
         most = np.zeros(n_files, dtype=np.int64)
-        np.maximum.at(most, files[at], count)
-        good = (count >= 2) & (2 * count >= most[files[at]])
-        rank = np.where(good, count + (key >> np.uint64(11)).astype(np.float64) / 2.0**53, 0.0)
-        # neighbours in the text, across the gaps between files
-        whole_rank, whole_key = np.zeros(len(symbols) - 1), np.arange(len(symbols) - 1, dtype=np.uint64)
-        whole_rank[at], whole_key[at] = rank, key
-        chosen = _alternate(whole_key, whole_rank)[at] & good
-        used = np.bincount(inverse[chosen], minlength=inverse.max() + 1 if len(inverse) else 0)
-        chosen &= used[inverse] >= 2
+        np.maximum.at(most, of, count)
+        good = np.flatnonzero((count >= 2) & (2 * count >= most[of]))
+        at, key, group, count = at[good], key[good], group[good], count[good]
+        chosen = _alternate(at, key, count + (key >> np.uint64(11)).astype(np.float64) / 2.0**53)
+        used = np.bincount(group[chosen], minlength=len(first))
+        chosen &= used[group] >= 2
         if not chosen.any():
             break
-        where, uses = at[chosen], used[inverse[chosen]]
+        where, group = at[chosen], group[chosen]
+        uses, of = used[group], files[where]
         long = length[where] + length[where + 1]
         symbols = symbols.copy()
-        symbols[where], length[where] = pair[chosen], long
+        symbols[where], length[where] = pairs[where], long
         within[where] += after[where] + within[where + 1]
         after[where] = after[where + 1]
         big = long >= least
-        np.maximum.at(share, files[where[big]], uses[big] * long[big] / n[files[where[big]]])
-        _, one = np.unique(inverse[chosen], return_index=True)
-        rules += np.bincount(files[where[one]], minlength=n_files)
+        np.maximum.at(share, of[big], uses[big] * long[big] / n[of[big]])
+        one = np.empty(len(first), dtype=np.int64)
+        one[group] = of
+        rules += np.bincount(one[used >= 2], minlength=n_files)
         keep = np.ones(len(symbols), dtype=bool)
         keep[where + 1] = False
-        symbols, files, length, after, within = (x[keep] for x in (symbols, files, length, after, within))
         # files without a repeated pair are finished
         moved = np.zeros(n_files, dtype=bool)
-        moved[files[(np.cumsum(keep) - 1)[where]]] = True
-        rest = left & ~moved
-        if rest.any():
-            out = rest[files]
-            finish(out)
+        moved[of] = True
+        if (left & ~moved).any():
+            finish(keep & ~moved[files])
             left &= moved
-            symbols, files, length, after, within = (x[~out] for x in (symbols, files, length, after, within))
+            keep &= moved[files]
+        kept = np.flatnonzero(keep)
+        symbols, files, length, after, within = (x[kept] for x in (symbols, files, length, after, within))
     finish(np.ones(len(symbols), dtype=bool))
     return Grammars(n, done + 2 * rules, share, rules, covered, breaks)
 
@@ -166,19 +182,20 @@ def consistent_rules(symbols: np.ndarray, files: np.ndarray, least: int = 12) ->
     """
     length = np.ones(len(symbols), dtype=np.int64)
     while len(symbols) > 1:
-        open_ = (files[1:] == files[:-1]) & (length[1:] < least) & (length[:-1] < least)
-        pair = _mix(symbols[:-1], symbols[1:])
-        rank = np.where(open_, (pair >> np.uint64(11)).astype(np.float64) + 1, 0.0)
-        chosen = _alternate(np.where(open_, pair, np.arange(len(pair), dtype=np.uint64)), rank) & open_
-        where = np.flatnonzero(chosen)
+        short = length < least
+        at = np.flatnonzero((files[1:] == files[:-1]) & short[1:] & short[:-1])
+        pair = _mix(symbols[at], symbols[at + 1])
+        chosen = _alternate(at, pair, (pair >> np.uint64(11)).astype(np.float64))
+        where = at[chosen]
         if not len(where):
             break
         symbols = symbols.copy()
-        symbols[where] = pair[where]
+        symbols[where] = pair[chosen]
         length[where] += length[where + 1]
         keep = np.ones(len(symbols), dtype=bool)
         keep[where + 1] = False
-        symbols, files, length = symbols[keep], files[keep], length[keep]
+        kept = np.flatnonzero(keep)
+        symbols, files, length = symbols[kept], files[kept], length[kept]
     return symbols, length, files
 
 
@@ -206,6 +223,7 @@ class _Tokens(dict):
 _DATA = re.compile(r"(?P<escapes>(?:\\x[0-9a-fA-F]{2}){6,})|(?P<array>(?:0[xX][0-9a-fA-F]{2},\s*){8,})|(?P<text>[A-Za-z0-9+/=_-]{%d,})" % LONG)
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _FORMAT = re.compile(r"\\x|0[xX]|[,\s]+")
+_NO_TEXT = np.array([not re.fullmatch(r"[A-Za-z0-9+/=_-]", chr(b)) for b in range(256)])
 
 
 def coded_share(symbols: np.ndarray) -> tuple[float, float]:
@@ -223,8 +241,18 @@ def coded_share(symbols: np.ndarray) -> tuple[float, float]:
     return share, share * float(np.log2(distinct + made.rules[0]) / np.log2(distinct))
 
 
+def _long_runs(text: str) -> int:
+    """Characters in runs of ``LONG`` or more that ``text`` of ``_DATA`` consists of, which it finds but slowly."""
+    data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
+    runs = np.diff(np.flatnonzero(_NO_TEXT[data]), prepend=-1, append=len(data)) - 1
+    return int(runs[runs >= LONG].sum())
+
+
 def literal_share(text: str) -> float:
     """Share of the text in long literals without blanks that Re-Pair cannot shorten; escapes and arrays as the bytes they give."""
+    # without escapes and arrays, all that can be found is runs
+    if not any(x in text for x in ("\\x", "0x", "0X")) and _long_runs(text) < 0.3 * len(text):
+        return 0.0
     kinds: dict[str, list[str]] = {"bytes": [], "hex": [], "text": []}
     total = 0
     for m in _DATA.finditer(text):
@@ -243,11 +271,17 @@ def literal_share(text: str) -> float:
     return share
 
 
+def _search(pattern: re.Pattern, words: tuple[str, ...], text: str) -> re.Match | None:
+    """The pattern, none of whose matches is without one of the words, in any case; ASCII is asked for these first, which is fast."""
+    low = text.lower()
+    return pattern.search(text) if not text.isascii() or any(w in low for w in words) else None
+
+
 def origin(path: str | None, text: str) -> str | None:
     """``library``: path, or path and header, say that the file is a third party's; ``hint``: one of them may say so."""
-    folder = _DEPENDENCY.search(path or "")
+    folder = _search(_DEPENDENCY, ("modules", "components", "packages", "party", "vendor", "extern", "deps"), path or "")
     head = text[:HEAD] if _OPENING.match(text) else ""
-    header = bool(_LICENCE.search(head) and _HOLDER.search(head))
+    header = bool(_search(_LICENCE, ("licen", "spdx"), head) and _HOLDER.search(head))
     if folder and (folder["sure"] is not None or header and folder["name"].lower() in head.lower()):
         return "library"
     return "hint" if folder or header else None
@@ -270,7 +304,7 @@ def minified_odds(covered: np.ndarray, breaks: np.ndarray) -> np.ndarray:
 def _measure(texts: list[str | None], memory: _Tokens) -> tuple[list[np.ndarray], tuple]:
     found = [_TOKEN.findall(_COMMENT.sub(r"\1 ", t)) if t else [] for t in texts]
     sizes = np.array([len(f) for f in found], dtype=np.int64)
-    packed = np.fromiter((memory[w] for f in found for w in f), dtype=np.int64, count=int(sizes.sum())).astype(np.uint64)
+    packed = np.fromiter(map(memory.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=int(sizes.sum())).astype(np.uint64)
     files = np.repeat(np.arange(len(texts)), sizes)
     line = packed == np.uint64(memory["\n"])
     # whether a line ends behind each token

@@ -163,3 +163,60 @@ def test_libraries_of_few_owners(spark):
     ]
     got = H.not_handwritten(spark.createDataFrame(rows, "id bigint, path string, owner string, text string"), key="id", path="path", owner="owner", text="text")
     assert {r["id"]: r["reason"] for r in got.collect()} == dict.fromkeys((1, 3, 4, 5, 6, 7), "vendored")
+
+
+def test_plain_text_is_not_searched_for_data(monkeypatch):
+    rng = random.Random(8)
+    searched, slow = [], H._DATA
+
+    class Spy:
+        def finditer(self, text):
+            searched.append(text)
+            return slow.finditer(text)
+
+    monkeypatch.setattr(H, "_DATA", Spy())
+    assert {H.literal_share(hand(rng)) for _ in range(20)} == {0.0} and not searched
+    assert H.literal_share(blob(rng)) > 0.5 and H.literal_share("0x1f, " * 9) == 0.0 and len(searched) == 2
+
+
+def test_long_runs_are_what_the_search_finds():
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choices(["a", "é", " ", "\n", "+/=_-", "Z9" * 11, "x" * 23, "b" * 24, "(", '"'], k=40))
+        assert H._long_runs(text) == sum(len(m.group()) for m in H._DATA.finditer(text)), text
+
+
+def test_only_pairs_that_may_repeat_are_sorted():
+    rng = np.random.default_rng(3)
+    once = H._mix(np.arange(50_000, dtype=np.uint64), np.arange(50_000, dtype=np.uint64))
+    again = rng.choice(once, 3000)
+    kept = H._may_repeat(np.concatenate([once, again]))
+    assert kept[np.isin(once, again).nonzero()[0]].all() and kept[50_000:].all() and kept.mean() < 0.4
+    assert H._may_repeat(once[:0]).tolist() == [] and not H._may_repeat(once[:1]).any()
+
+
+def test_pairs_win_against_both_neighbours():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(0, 30))
+        keys, given = rng.integers(1, 4, n), rng.random(n) < 0.8
+        got = np.zeros(n, dtype=bool)
+        at = np.flatnonzero(given)
+        got[at] = H._alternate(at, keys[at], keys[at].astype(float))
+        rank = [0, *np.where(given, keys, 0), 0]
+        begin = 0
+        for i in range(1, n + 1):
+            begin = begin if rank[i] == rank[i - 1] else i
+            beaten = begin == i and rank[i - 1] > rank[i] or rank[i + 1] > rank[i]
+            assert got[i - 1] == (rank[i] > 0 and (i - begin) % 2 == 0 and not beaten)
+
+
+def test_paths_and_headers_in_any_case():
+    header = "// Licence: free. Copyright by oakum\n"
+    for path in ("a/Node_Modules/x/b.js", "a/ſite-packages/x/b.py", "Vendor/x/b.go", "THIRDPARTY/x/b.c", "jspm_packages/x/b.js", "bower_components/x/b.js"):
+        assert H.origin(path, "x") == "library", path
+    for path in ("a/External/x/b.c", "a/extern/x/b.c", "deps/x/b.c"):
+        assert H.origin(path, "x") == "hint" and H.origin(path, header.replace("oakum", "X")) == "library", path
+    for text in (header, header.upper(), header.replace("Licence", "ſPDX"), "\ufeff" + header):
+        assert H.origin("a/b.c", text) == "hint" and H.origin("a/vendored/b.c", text) == "hint", text
+    assert H.origin(None, "x") is None and H.origin("a/vendor", "// free, (c) oakum") is None

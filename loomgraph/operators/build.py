@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import entity_id, module_path, name_key
-from loomgraph.operators.maintain import merge_edges
 from loomgraph.schema import ENTITIES, conform
 from loomgraph.session import stage
 
@@ -22,18 +21,32 @@ PLAIN_BASES = ["object", "ABC", "BaseModel"]
 SUFFIXES = [".py", "/__init__.py", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.js", ".java", ".rs", "/mod.rs", ".rb"]
 
 
-def import_candidates(path: Column, target: Column, level: Column) -> Column:
-    """Files that an import may mean, in the order in which they are tried."""
+def import_base(path: Column, target: Column, level: Column) -> tuple[Column, Column]:
+    """The file that an import names as it is written, and the path without suffix that it else means."""
     bare = F.translate(F.regexp_replace(target, "::", "/"), ".\\", "//")
     folder = F.split(F.regexp_replace(path, r"/?[^/]*$", ""), "/")
     up = F.array_join(F.slice(folder, 1, F.greatest(F.size(folder) - level + 1, F.lit(0))), "/")
     base = F.when(level > 0, F.concat_ws("/", F.when(up != "", up), F.when(bare != "", bare))).otherwise(bare)
+    return F.concat_ws("/", F.when(up != "", up), F.translate(target, "\\", "/")), base  # includes name the file itself
+
+
+def base_candidates(base: Column, root: Column) -> Column:
+    """Files that such a path may mean, in the order in which they are tried; ``root``: the import is not relative."""
     short = F.regexp_replace(base, r"/?[^/]*$", "")
     direct = [F.concat(base, F.lit(s)) for s in SUFFIXES]
     dropped = [F.when(short != "", F.concat(short, F.lit(s))) for s in (".rs", "/mod.rs", ".py")]
-    library = [F.when(level == 0, F.concat(F.lit("lib/"), base, F.lit(".rb")))]
-    named = [F.concat_ws("/", F.when(up != "", up), F.translate(target, "\\", "/"))]  # includes name the file itself
-    return F.filter(F.array(*named, *direct, *dropped, *library), lambda c: c.isNotNull())
+    library = [F.when(root, F.concat(F.lit("lib/"), base, F.lit(".rb")))]
+    return F.filter(F.array(*direct, *dropped, *library), lambda c: c.isNotNull())
+
+
+def _sorted(df: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled and merged at every size.
+
+    Staged tables are small on disk and large in memory (compressed, and the
+    optimizer does not see how often ``explode`` repeats a row), so it would
+    broadcast what the driver cannot hold.
+    """
+    return df.hint("merge")
 
 
 def build(parsed: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
@@ -69,45 +82,54 @@ def build(parsed: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
     source = F.when(F.coalesce("owner", F.lit("")) == "", module_of(F.col("path"))).otherwise(entity_id(F.col("owner")))
     contains = own.filter("kind != 'module'").select(module_of(F.col("path")).alias("src"), F.lit("contains").alias("kind"), entity_id(F.col("name")).alias("dst"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("method"))
 
-    imports = refs.filter("ref_kind = 'import'").select("path", "target", "level", F.posexplode(import_candidates(F.col("path"), F.col("target"), F.col("level"))).alias("n", "candidate"))
+    # the paths that imports mean are few and are tried once each; what an import names as written depends on its file
+    named, base = import_base(F.col("path"), F.col("target"), F.col("level"))
+    imports = refs.filter("ref_kind = 'import'").select("path", "target", "is_relative", name_key(named).alias("named_key"), base.alias("base"), F.coalesce(F.col("level") == 0, F.lit(False)).alias("root"))
     files = keys.filter("type = 'module'").select(F.col("name_key").alias("candidate_key"), "dst")
-    hit = imports.withColumn("candidate_key", name_key(F.col("candidate"))).join(files, "candidate_key").groupBy("path", "target", "level").agg(F.min_by("dst", "n").alias("dst"))
-    import_edges = hit.select(module_of(F.col("path")).alias("src"), F.lit("imports").alias("kind"), "dst", F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("method"))
-    outside = refs.filter("ref_kind = 'import' and not is_relative and target != ''").join(hit.select("path", "target", "level"), ["path", "target", "level"], "left_anti")
+    tried = imports.select("base", "root").distinct().select("base", "root", F.posexplode(base_candidates(F.col("base"), F.col("root"))).alias("n", "candidate")).withColumn("candidate_key", name_key(F.col("candidate")))
+    meant = tried.join(_sorted(files), "candidate_key").groupBy("base", "root").agg(F.min_by("dst", "n").alias("meant"))
+    resolved = imports.join(_sorted(meant), ["base", "root"], "left").join(_sorted(files.select(F.col("candidate_key").alias("named_key"), F.col("dst").alias("written"))), "named_key", "left")
+    resolved = stage(resolved.select("path", "target", "is_relative", F.coalesce("written", "meant").alias("dst")), "imports")
+    import_edges = resolved.filter("dst is not null").select(module_of(F.col("path")).alias("src"), F.lit("imports").alias("kind"), "dst", F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("method"))
+    outside = resolved.filter("dst is null and not is_relative and target != ''")
     package = F.regexp_extract("target", r"^([^./:\\]+)", 1)
     depends = outside.select(module_of(F.col("path")).alias("src"), F.lit("depends_on").alias("kind"), package.alias("name")).filter("name != ''")
 
     plain = F.regexp_extract("target", r"([^.:]+)$", 1)
-    wanted = refs.filter(F.col("ref_kind").isin("extends", "call", "field")).select(source.alias("src"), F.element_at(F.create_map(F.lit("extends"), F.lit("extends"), F.lit("call"), F.lit("calls"), F.lit("field"), F.lit("uses")), F.col("ref_kind")).alias("kind"), plain.alias("name"), F.when(F.col("serialized"), F.lit("serialized")).alias("note"), F.col("via").alias("method"))
+    wanted = refs.filter(F.col("ref_kind").isin("extends", "call", "field")).select(source.alias("src"), F.element_at(F.create_map(F.lit("extends"), F.lit("extends"), F.lit("call"), F.lit("calls"), F.lit("field"), F.lit("uses")), F.col("ref_kind")).alias("kind"), plain.alias("name"), F.when(F.col("serialized"), F.lit("serialized")).alias("note"))
     wanted = wanted.filter(~F.col("name").isin(PLAIN_BASES) & ~F.col("name").rlike("^[A-Z0-9_]{2,}$")).withColumn("name_key", name_key(F.col("name")))
-    # read twice: for stubs and for edges
-    known = stage(wanted.join(keys.select("name_key", "dst"), "name_key", "left"), "known")
-    stub_names = known.filter("dst is null").filter((F.col("kind") == "extends") | F.col("name").rlike("^[A-Z]")).select("name_key", "name").unionByName(depends.select(name_key(F.col("name")).alias("name_key"), "name").join(keys.select("name_key"), "name_key", "left_anti"))
-    stubs = stub_names.groupBy("name_key").agg(F.min("name").alias("name")).select(
+    # ids are functions of names, so only what makes no stub must be looked up
+    certain = (F.col("kind") == "extends") | F.col("name").rlike("^[A-Z]")
+    known = wanted.filter(certain).unionByName(wanted.filter(~certain).join(_sorted(keys.select("name_key")), "name_key", "left_semi"))
+    stub_names = wanted.filter(certain).select("name_key", "name").unionByName(depends.select(name_key(F.col("name")).alias("name_key"), "name")).distinct()
+    stubs = stub_names.groupBy("name_key").agg(F.min("name").alias("name")).join(_sorted(keys.select("name_key")), "name_key", "left_anti").select(
         entity_id(F.col("name")).alias("id"), F.xxhash64("name_key").alias("seq"), F.lit("other").alias("type"), "name", "name_key", F.lit("stub").alias("status"), F.lit(1).alias("version"), F.lit("stub").alias("source"), F.lit("").alias("file_path"), at.alias("created"), at.alias("updated")
     )
-    to_names = known.filter((F.col("dst").isNotNull()) | (F.col("kind") == "extends") | F.col("name").rlike("^[A-Z]")).select("src", "kind", F.coalesce("dst", entity_id(F.col("name"))).alias("dst"), "note", F.lit(None).cast("string").alias("method"))
+    stubs = stage(stubs, "stubs")
+    to_names = known.select("src", "kind", entity_id(F.col("name")).alias("dst"), "note", F.lit(None).cast("string").alias("method"))
     to_packages = depends.select("src", "kind", entity_id(F.col("name")).alias("dst"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("method"))
 
     calls = refs.filter("ref_kind = 'method_call'").select(source.alias("src"), F.split_part("target", F.lit("::"), F.lit(1)).alias("receiver"), F.split_part("target", F.lit("::"), F.lit(2)).alias("m"), "via")
-    by_receiver = calls.withColumn("name_key", name_key(F.col("receiver"))).filter("name_key != ''").join(keys.filter("type = 'class'").select("name_key", "dst"), "name_key")
+    classes = keys.filter("type = 'class'").select("name_key", "dst")
+    received = calls.select("src", "receiver", "m").distinct().withColumn("name_key", name_key(F.col("receiver"))).join(_sorted(classes), "name_key", "left")
+    # read twice: for receivers and for guesses
+    received = stage(received.select("src", "m", "dst").distinct(), "calls")
     owners = active.filter("type = 'class'").select(F.col("id").alias("dst"), F.explode("methods").alias("method_name")).select("dst", F.lower("method_name").alias("mk")).distinct()
-    rest = calls.withColumn("mk", F.lower("m")).join(by_receiver.select("src", "receiver", "m").distinct(), ["src", "receiver", "m"], "left_anti")
     # classes per method first: a name that many classes define is dropped before it meets its calls
     rare = owners.groupBy("mk").agg(F.count(F.lit(1)).alias("n")).filter("n <= 4").select("mk")
-    guess = rest.join(owners.join(rare, "mk"), "mk").filter("src != dst")
-    guess = guess.join(guess.groupBy("src", "m").agg(F.count_distinct("dst").alias("n")).filter("n between 1 and 3").select("src", "m"), ["src", "m"], "left_semi")
-    method_edges = by_receiver.select("src", F.lit("calls").alias("kind"), "dst", F.lit(None).cast("string").alias("note"), F.col("m").alias("method")).unionByName(guess.select("src", F.lit("calls").alias("kind"), "dst", F.lit(None).cast("string").alias("note"), F.col("m").alias("method")))
+    guess = received.filter("dst is null").select("src", "m", F.lower("m").alias("mk")).join(_sorted(owners.join(_sorted(rare), "mk")), "mk").filter("src != dst")
+    guess = guess.groupBy("src", "m").agg(F.collect_set("dst").alias("found")).filter("size(found) <= 3").select("src", F.explode("found").alias("dst"), "m")
+    method_edges = received.filter("dst is not null").select("src", "dst", "m").unionByName(guess).select("src", F.lit("calls").alias("kind"), "dst", F.lit(None).cast("string").alias("note"), F.col("m").alias("method"))
 
+    # every dst is an entity: taken from one, or an id of a name that is one or became a stub
     every = reduce(DataFrame.unionByName, [contains, import_edges, to_packages, to_names, method_edges]).filter("src != dst")
     ids = active.select("id").union(stubs.select("id"))
     numbered = every.groupBy("src", "kind", "dst").agg(F.max("note").alias("note"), F.array_sort(F.collect_set("method")).alias("called_methods"))
     rank = {"contains": 0, "imports": 1, "depends_on": 2, "extends": 3, "uses": 4, "calls": 5}
     position = F.element_at(F.create_map(*[F.lit(x) for kv in rank.items() for x in kv]), F.col("kind"))
-    edges = numbered.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
-    edges = merge_edges(edges.withColumn("pos", position))
+    edges = numbered.join(_sorted(ids.select(F.col("id").alias("src"))), "src", "left_semi").select("src", position.alias("pos"), "kind", "dst", "note", "called_methods")
     triples = calls.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set(F.struct(F.col("receiver").alias("receiver"), F.col("m").alias("method"), F.coalesce("via", F.lit("")).alias("via")))).alias("called_methods"))
-    entities = conform(active.join(triples, "id", "left"), ENTITIES).unionByName(conform(stubs, ENTITIES))
+    entities = conform(active.join(_sorted(triples), "id", "left"), ENTITIES).unionByName(conform(stubs, ENTITIES))
     return entities, edges
 
 

@@ -15,6 +15,9 @@ Extractor = Callable[[str, str], tuple[list[dict], list[dict]]]
 
 EXTRACTORS: dict[str, Extractor] = {"python": python_ast.extract, "unity": assets.extract, **{language: lexical.extractor(language) for language in lexical.LANGUAGES}}
 
+# what is found in so many files is held as Python objects
+FILES_AT_ONCE = 1000
+
 
 def register_extractor(language: str, extract: Extractor) -> None:
     """Add or replace the extractor of a language: (path, text) to definition and reference dicts."""
@@ -41,7 +44,7 @@ def extract(files: DataFrame) -> DataFrame:
     defs_type, refs_type = _struct(DEFS), _struct(REFS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, FILES_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, FILES_AT_ONCE)):
             defs, refs, errors = [], [], []
             for path, language, text in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 d, r, e = [], [], None
